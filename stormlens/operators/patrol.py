@@ -37,7 +37,7 @@ def watch_sectors(strikes: DataFrame, nodes: DataFrame, node: str, lat: str, lon
 def revisit_schedule(sectors: DataFrame, revisit_min: int = 20, hours: int = 72) -> DataFrame:
     """One row per planned visit: offsets 0, 20, 40 ... minutes up to the end of the window."""
     n = hours * 60 // revisit_min
-    x = sectors.withColumn("visit_no", F.explode(F.sequence(F.lit(0), F.lit(n))).cast("bigint"))
+    x = sectors.withColumn("visit_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n).cast("bigint"))))
     return x.withColumn("offset_min", F.col("visit_no") * revisit_min)
 
 

@@ -75,20 +75,21 @@ FIRES = """fires AS (SELECT c_custkey AS fire_id, 35.0::DOUBLE + (c_custkey*37 %
 
 
 def flashes(spark, sf, good: bool = True) -> DataFrame:
+    """Flashes; quality 0 (the kept ones) is return flag A."""
     l = table(spark, sf, "lineitem")
     if good:
-        l = l.where(F.col("l_linenumber") % 3 == 0)
-    return l.select(micros("l_shipdate").alias("t"), lat_of("l_partkey", 53).alias("lat"),
+        l = l.where("l_returnflag = 'A'")
+    return l.select((micros("l_shipdate") + F.col("l_orderkey") % 24 * HOUR).alias("t"), lat_of("l_partkey", 53).alias("lat"),
                     lon_of("l_partkey", 71).alias("lon"), F.col("l_extendedprice").alias("energy"),
-                    (F.col("l_linenumber") % 3).alias("quality"),
+                    F.when(F.col("l_returnflag") == "A", 0).otherwise(1).alias("quality"),
                     (F.col("l_suppkey") % 4 + 16).alias("sat"), F.col("l_suppkey").alias("vsn"))
 
 
-FLASHES = """flashes AS (SELECT epoch_us(l_shipdate) AS t,
+FLASHES = """flashes AS (SELECT epoch_us(l_shipdate) + l_orderkey % 24 * 3600000000 AS t,
   35.0::DOUBLE + (l_partkey*53 % 997)/1000.0::DOUBLE AS lat,
   -120.0::DOUBLE + (l_partkey*71 % 1499)/1000.0::DOUBLE AS lon, l_extendedprice AS energy,
-  l_linenumber % 3 AS quality, l_suppkey % 4 + 16 AS sat, l_suppkey AS vsn
-  FROM lineitem WHERE l_linenumber % 3 = 0)"""
+  0 AS quality, l_suppkey % 4 + 16 AS sat, l_suppkey AS vsn
+  FROM lineitem WHERE l_returnflag = 'A')"""
 
 
 def events(spark, sf) -> DataFrame:
@@ -120,3 +121,49 @@ def day_sql(us: str) -> str:
 
 def r6(c) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def uploads(spark, sf) -> DataFrame:
+    """Archive rows: one per lineitem, the task named by its flags."""
+    l = table(spark, sf, "lineitem")
+    kind = F.concat("l_returnflag", "l_linestatus")
+    task = F.when(F.col("l_linenumber") == 7, "status-report")
+    for k, name in TASKS.items():
+        task = task.when(kind == k, name)
+    return l.select(F.col("l_suppkey").alias("vsn"), micros("l_shipdate").alias("t"),
+                    task.otherwise("other").alias("task"))
+
+
+TASKS = {"AF": "AudioSampler", "AO": "audio-sampler", "NF": "imagesampler-top", "NO": "fast-image-sampler",
+         "RF": "ptz-yolo", "RO": "smoke-detector-cam"}
+
+UPLOADS = ("up AS (SELECT l_suppkey AS vsn, epoch_us(l_shipdate) AS t, CASE WHEN l_linenumber = 7 THEN 'status-report' "
+           + " ".join(f"WHEN l_returnflag || l_linestatus = '{k}' THEN '{v}'" for k, v in TASKS.items())
+           + " ELSE 'other' END AS task FROM lineitem)")
+
+BUCKET_SQL = """CASE WHEN regexp_matches(task, '(?i)audio-?sampler') THEN 'audio'
+  WHEN regexp_matches(task, '(?i)(fast-)?image-?sampler') THEN 'image' WHEN regexp_matches(task, '(?i)ptz-yolo') THEN 'ptz'
+  WHEN regexp_matches(task, '(?i)smoke-detector|yolo') THEN 'derived' ELSE 'non_media' END"""
+
+COVERAGE = f"""{UPLOADS}, cov AS (SELECT vsn, task, t // {DAY} AS day, count(*) AS n_uploads, {BUCKET_SQL} AS bucket
+  FROM up GROUP BY ALL)"""
+
+
+def rain(spark, sf) -> DataFrame:
+    """Hourly cumulative gauge per node: the running sum of l_quantity."""
+    from stormlens.operators.blocks import with_block, with_carry, key_window
+    from pyspark.sql import Window
+    l = table(spark, sf, "lineitem")
+    h = l.groupBy(F.col("l_suppkey").alias("vsn"),
+                  (micros("l_shipdate") + F.col("l_orderkey") % 24 * HOUR).alias("hour")).agg(
+        F.sum(F.col("l_quantity").cast("bigint")).alias("inc"))
+    x = with_carry(with_block(h, "hour", 60 * DAY), ["vsn"], {"c": (F.sum("inc"), "sum")})
+    w = key_window(["vsn"], "__block").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
+    hi = F.sum("inc").over(w) + F.coalesce("c", F.lit(0))
+    return x.select("vsn", "hour", (hi - F.col("inc")).cast("double").alias("lo"), hi.cast("double").alias("hi"))
+
+
+RAIN = """rain AS (SELECT vsn, hour, (hi - inc)::DOUBLE AS lo, hi::DOUBLE AS hi FROM (SELECT vsn, hour, inc,
+  sum(inc) OVER (PARTITION BY vsn ORDER BY hour) AS hi FROM (SELECT l_suppkey AS vsn,
+   epoch_us(l_shipdate) + l_orderkey % 24 * 3600000000 AS hour, sum(l_quantity::BIGINT) AS inc
+   FROM lineitem GROUP BY 1, 2)))"""

@@ -142,8 +142,8 @@ def nearest_truth_error(spark, sf):
 
 
 @query("k_nearest_nodes", f"""
-WITH {NODES} SELECT vsn, round({planar('35.5', '-119.2', 'n_lat', 'n_lon')}, 6) AS dist_km FROM nodes
-ORDER BY {planar('35.5', '-119.2', 'n_lat', 'n_lon')}, vsn LIMIT 6
+WITH {NODES} SELECT vsn, round({planar('35.5', '(-119.2)', 'n_lat', 'n_lon')}, 6) AS dist_km FROM nodes
+ORDER BY {planar('35.5', '(-119.2)', 'n_lat', 'n_lon')}, vsn LIMIT 6
 """)
 def k_nearest_nodes(spark, sf):
     from stormlens.operators.patrol import k_nearest
@@ -254,7 +254,7 @@ def albers_projection(spark, sf):
 @query("proximity_components", f"""
 WITH RECURSIVE {NODES},
 e AS (SELECT a.vsn AS u, b.vsn AS v FROM nodes a JOIN nodes b ON a.vsn < b.vsn
-  AND {planar('a.n_lat', 'a.n_lon', 'b.n_lat', 'b.n_lon')} <= 4.0),
+  AND {planar('a.n_lat', 'a.n_lon', 'b.n_lat', 'b.n_lon')} <= 9.5),
 e2 AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
 r(id, lab) AS (SELECT vsn, vsn FROM nodes UNION SELECT e2.v, r.lab FROM r JOIN e2 ON e2.u = r.id),
 c AS (SELECT id, min(lab) AS component FROM r GROUP BY 1)
@@ -262,7 +262,7 @@ SELECT id AS vsn, component, size FROM (SELECT id, component, count(*) OVER (PAR
 WHERE size >= 3
 """)
 def q_proximity_components(spark, sf):
-    return proximity_components(nodes(spark, sf), "vsn", "n_lat", "n_lon", 4.0)
+    return proximity_components(nodes(spark, sf), "vsn", "n_lat", "n_lon", 9.5)
 
 
 SECTORS = f"""{NODES}, {FIRES}, {FLASHES},
