@@ -9,6 +9,10 @@ That table grows with the time span, not with the rows. Key columns must not be
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,3 +123,48 @@ def neighbours(df: DataFrame, by: list[str], order: str, value: str, reach: int,
         .withColumn("__next", F.slice(F.concat(ahead, F.col("__nb")), 1, reach))
         .drop("__pb", "__nb")
     )
+
+
+def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str],
+                      fn: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema) -> DataFrame:
+    """Run `fn(rows, cuts)` on Arrow batches of whole groups, sorted by `order` inside each.
+
+    `cuts` are the positions where a new group begins (the first group starts at 0). Many
+    small groups share one call; only a group that crosses a batch edge is held back, so
+    use (key, block) groups, whose size is bounded by the block.
+    """
+    def run(batches):
+        held: list[pd.DataFrame] = []
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            k = pdf[keys]
+            cuts = np.flatnonzero((k.iloc[1:].to_numpy() != k.iloc[:-1].to_numpy()).any(axis=1)) + 1
+            if held and (held[-1][keys].iloc[-1].to_numpy() != k.iloc[0].to_numpy()).any():
+                yield fn(pd.concat(held, ignore_index=True), np.array([], dtype=int))
+                held = []
+            if not len(cuts):
+                held.append(pdf)
+                continue
+            # the first group may continue the held one, the last may go on in the next batch
+            if held:
+                held.append(pdf.iloc[:cuts[0]])
+                yield fn(pd.concat(held, ignore_index=True), np.array([], dtype=int))
+                inner, cuts = pdf.iloc[cuts[0]:cuts[-1]], cuts[1:] - cuts[0]
+            else:
+                inner = pdf.iloc[:cuts[-1]]
+                cuts = cuts.copy()
+            if len(inner):
+                yield fn(inner.reset_index(drop=True), cuts[:-1])
+            held = [pdf.iloc[_last_start(k):]]
+        if held:
+            yield fn(pd.concat(held, ignore_index=True), np.array([], dtype=int))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def _last_start(k: pd.DataFrame) -> int:
+    """Position where the last group of a sorted key frame begins."""
+    a = k.to_numpy()
+    change = np.flatnonzero((a[1:] != a[:-1]).any(axis=1))
+    return int(change[-1]) + 1 if len(change) else 0

@@ -8,28 +8,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stormlens.operators.blocks import (BLOCK, key_window, neighbours, row_numbers,
-                                        running_last, with_block)
+from stormlens.operators.blocks import (BLOCK, key_window, map_sorted_groups, neighbours,
+                                        row_numbers, with_block)
 from stormlens.operators.joins import asof_backward
 from stormlens.operators.quantiles import exact_quantile
 from stormlens.session import cut
 
 
-def episodes(df: DataFrame, by: list[str], time: str, gap, block=None) -> DataFrame:
+def episodes(df: DataFrame, by: list[str], time: str, gap, block=None,
+             keep_min: dict[str, Column] | None = None) -> DataFrame:
     """Gap sessions: a new one starts where the gap is strictly larger than `gap`.
 
     Sessions are built inside (key, block) first; only these partial sessions, whose
-    number depends on the time span, are merged per key.
-    Output: by, episode_start, episode_end, n.
+    number depends on the time span, are merged per key. `keep_min` adds columns that hold
+    the minimum of an expression over the session.
+    Output: by, episode_start, episode_end, n, keep_min columns.
     """
+    extra = keep_min or {}
     length = block or gap * 8
-    x = with_block(df.select(*by, time), time, length)
+    x = with_block(df.select(*by, time, *[c.alias(n) for n, c in extra.items()]), time, length)
     w = key_window(by, BLOCK).orderBy(time)
     before = F.lag(time).over(w)
     x = x.withColumn("__new", (before.isNull() | (F.col(time) - before > gap)).cast("bigint"))
     x = x.withColumn("__i", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     partial = x.groupBy(*by, BLOCK, "__i").agg(
-        F.min(time).alias("__s"), F.max(time).alias("__e"), F.count(F.lit(1)).alias("__n"))
+        F.min(time).alias("__s"), F.max(time).alias("__e"), F.count(F.lit(1)).alias("__n"),
+        *[F.min(n).alias(n) for n in extra])
     kw = key_window(by).orderBy("__s")
     prev_end = F.lag("__e").over(kw)
     partial = partial.withColumn(
@@ -37,59 +41,52 @@ def episodes(df: DataFrame, by: list[str], time: str, gap, block=None) -> DataFr
     partial = partial.withColumn("__g", F.sum("__brk").over(kw.rowsBetween(Window.unboundedPreceding, 0)))
     return partial.groupBy(*by, "__g").agg(
         F.min("__s").alias("episode_start"), F.max("__e").alias("episode_end"),
-        F.sum("__n").alias("n")).drop("__g")
+        F.sum("__n").alias("n"), *[F.min(n).alias(n) for n in extra]).drop("__g")
 
 
-def episode_summary(eps: DataFrame, by: list[str]) -> DataFrame:
+def episode_summary(eps: DataFrame, by: list[str], keep_min: list[str] | None = None) -> DataFrame:
     """Number of episodes, first start, end and size of the last episode."""
     last = F.max(F.struct("episode_end", "n"))
     return eps.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_episodes"), F.min("episode_start").alias("first_time"),
         last["episode_end"].alias("last_end"), last["n"].alias("last_n"),
-        F.sum("n").alias("n_total"))
+        F.sum("n").alias("n_total"), *[F.min(n).alias(n) for n in keep_min or []])
 
 
 # ---------------------------------------------------------------- greedy groups
 
-def _next_uncovered(t: np.ndarray, width: float, strict: bool) -> np.ndarray:
+def _next_uncovered(t: np.ndarray, width, strict: bool) -> np.ndarray:
     """Index of the first event not covered by a group that starts at each event."""
     return np.searchsorted(t, t + width, side="left" if strict else "right")
 
 
-def _block_transfer(pdf: pd.DataFrame, width: float, strict: bool) -> pd.DataFrame:
-    """How a block of sorted times maps the last group start before it to the last one in it.
+def _transfer(t: np.ndarray, width, strict: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How sorted times map the last group start before them to the last start among them.
 
-    Only events within `width` of the block's first event can be covered from before, so
-    the map has one step per such event.
+    Only events within `width` of the first can be covered from before, so the map has one
+    step per such event: (entry times, last start of the chain that begins there).
     """
-    t = np.sort(pdf["__t"].to_numpy())
-    nxt = _next_uncovered(t, width, strict)
-    last = np.arange(len(t))
+    nxt = _next_uncovered(t, width, strict).tolist()
+    last = list(range(len(t)))
     for i in range(len(t) - 1, -1, -1):
         if nxt[i] < len(t):
             last[i] = last[nxt[i]]
-    head = int(np.searchsorted(t, t[0] + width, side="right")) + 1
-    head = min(head, len(t))
-    return pd.DataFrame({"entries": [t[:head].tolist()], "exits": [t[last[:head]].tolist()],
-                         "t_last": [t[-1]]})
-
-
-def _assign(pdf: pd.DataFrame, width: float, strict: bool) -> pd.DataFrame:
-    """Group start of every row of one block, given the last start before the block."""
-    pdf = pdf.sort_values("__t", kind="stable")
-    t = pdf["__t"].to_numpy()
-    start = np.empty(len(t), dtype=t.dtype)
-    carried = pdf["__in"].iloc[0]
-    nxt = _next_uncovered(t, width, strict)
+    head = min(int(np.searchsorted(t, t[0] + width, side="right")) + 1, len(t))
+    return t[:head], t[last[:head]]
+
+
+def _starts(t: np.ndarray, carried, width, strict: bool) -> np.ndarray:
+    """Group start of every event of one block, given the last start before the block."""
+    out = np.empty_like(t)
     i = 0
-    if not pd.isna(carried):
+    if carried is not None:
         i = int(np.searchsorted(t, carried + width, side="left" if strict else "right"))
-        start[:i] = carried
+        out[:i] = carried
+    nxt = _next_uncovered(t, width, strict)
     while i < len(t):
-        j = nxt[i]
-        start[i:j] = t[i]
-        i = j
-    return pdf.assign(__start=start).drop(columns=["__in"])
+        out[i:nxt[i]] = t[i]
+        i = nxt[i]
+    return out
 
 
 def greedy_groups(df: DataFrame, by: list[str], time: str, width, *, block, strict: bool = False,
@@ -104,17 +101,21 @@ def greedy_groups(df: DataFrame, by: list[str], time: str, width, *, block, stri
     if block <= width:
         raise ValueError("block must be longer than width")
     ttype = df.schema[time].dataType
-    keys = df.select(*by).schema.fields
-    x = with_block(df.withColumn("__t", F.col(time)), time, block)
     tname = ttype.simpleString()
+    keys = df.select(*by).schema.fields
+    k = [*by, BLOCK]
+    x = with_block(df, time, block)
 
-    blocks = x.select(*by, BLOCK, "__t").groupBy(*by, BLOCK).applyInPandas(
-        lambda key, pdf: _block_transfer(pdf, width, strict).assign(
-            **{c: k for c, k in zip([*by, BLOCK], key)})[[*by, BLOCK, "entries", "exits", "t_last"]],
-        T.StructType([*keys, T.StructField(BLOCK, T.LongType()),
-                      T.StructField("entries", T.ArrayType(ttype)),
-                      T.StructField("exits", T.ArrayType(ttype)),
-                      T.StructField("t_last", ttype)]))
+    def summarise(pdf, cuts):
+        parts = [_transfer(t, width, strict) for t in np.split(pdf[time].to_numpy(), cuts)]
+        head = pdf.iloc[np.r_[0, cuts]][k].reset_index(drop=True)
+        ends = np.r_[cuts, len(pdf)] - 1
+        return head.assign(entries=[p[0] for p in parts], exits=[p[1] for p in parts],
+                           t_last=pdf[time].to_numpy()[ends])
+
+    blocks = map_sorted_groups(x.select(*k, time), k, [time], summarise, T.StructType([
+        *keys, T.StructField(BLOCK, T.LongType()), T.StructField("entries", T.ArrayType(ttype)),
+        T.StructField("exits", T.ArrayType(ttype)), T.StructField("t_last", ttype)]))
 
     none = F.lit(None).cast(tname)
     # blocks farther apart than the width do not influence each other: fold per linked run
@@ -139,12 +140,20 @@ def greedy_groups(df: DataFrame, by: list[str], time: str, width, *, block, stri
         .agg(F.array_sort(F.collect_list(F.struct(BLOCK, "entries", "exits"))).alias("bs"))
         .select(*by, F.explode(F.aggregate("bs", zero, step)["done"]).alias("d"))
         .select(*by, F.col("d.b").alias(BLOCK), F.col("d.i").alias("__in")))
-    y = x.join(entering, [*by, BLOCK])
-    schema = T.StructType([*x.schema.fields, T.StructField("__start", ttype)])
-    order = x.columns
-    done = y.groupBy(*by, BLOCK).applyInPandas(
-        lambda pdf: _assign(pdf, width, strict)[[*order, "__start"]], schema)
-    return done.drop(BLOCK, "__t").withColumnRenamed("__start", out)
+
+    def assign(pdf, cuts):
+        carried = pdf["__in"].to_numpy()[np.r_[0, cuts]]
+        parts = [_starts(t, None if pd.isna(c) else c, width, strict)
+                 for t, c in zip(np.split(pdf[time].to_numpy(), cuts), carried)]
+        return pdf.drop(columns=["__in"]).assign(__start=np.concatenate(parts))
+
+    y = x.join(entering, k)
+    if isinstance(ttype, T.LongType):
+        # keep integer times exact: a null would turn the column into doubles
+        y = y.withColumn("__in", F.coalesce("__in", F.lit(-(2**62))))
+    done = map_sorted_groups(y, k, [time], assign, T.StructType([
+        *[f for f in y.schema.fields if f.name != "__in"], T.StructField("__start", ttype)]))
+    return done.drop(BLOCK).withColumnRenamed("__start", out)
 
 
 def greedy_dedupe(df: DataFrame, by: list[str], time: str, min_sep, *, block,
@@ -235,30 +244,57 @@ def hysteresis_islands(df: DataFrame, by: list[str], order: str, value: str, *,
     """Events that open at value >= on and close at the first value < off.
 
     The closing row belongs to the event; an event still open at the end closes there.
+    Each block is summarised by its first and last marker and its last certain start, so
+    open state and start are carried over blocks in one pass.
     Output: by, start, end (values of `order`), n.
     """
-    v = F.col(value)
-    x = with_block(df.select(*by, order, value), order, block)
-    x = x.withColumn("__m", F.when(v >= on, 1).when(v < off, 0))
-    x = running_last(x, by, [order], F.col("__m"), "__was", include_current=False)
-    was = F.coalesce(F.col("__was"), F.lit(0))
-    x = x.withColumn("__open", (F.col("__m") == 1) & (was == 0))
-    x = x.withColumn("__open", F.coalesce(F.col("__open"), F.lit(False)))
-    x = x.withColumn("__in", F.col("__open") | (was == 1))
-    x = running_last(x, by, [order], F.when(F.col("__open"), F.col(order)), "start")
-    return x.where(F.col("__in")).groupBy(*by, "start").agg(
+    t, v = F.col(order), F.col(value)
+    m = F.when(v >= on, 1).when(v < off, 0)
+    x = with_block(df.select(*by, order, m.alias("__m")), order, block)
+    w = key_window(by, BLOCK).orderBy(order)
+    local = F.last("__m", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    x = x.withColumn("__was", local)
+    mark = F.when(F.col("__m").isNotNull(), F.struct(t.alias("t"), F.col("__m").alias("m")))
+    per = x.groupBy(*by, BLOCK).agg(
+        F.min(mark).alias("a"), F.max(mark).alias("z"),
+        F.max(F.when((F.col("__m") == 1) & (F.col("__was") == 0), t)).alias("sure"))
+    seq = key_window(by).orderBy(BLOCK)
+    before = seq.rowsBetween(Window.unboundedPreceding, -1)
+    per = per.withColumn("__open_in", F.coalesce(F.last("z", ignorenulls=True).over(before)["m"], F.lit(0)))
+    first_opens = F.when((F.col("a.m") == 1) & (F.col("__open_in") == 0), F.col("a.t"))
+    per = per.withColumn("last_start", F.coalesce("sure", first_opens))
+    per = per.select(*by, BLOCK, "__open_in",
+                     F.last("last_start", ignorenulls=True).over(before).alias("__start_in"))
+    x = x.join(per, [*by, BLOCK])
+    was = F.coalesce(F.col("__was"), F.col("__open_in"))
+    opens = F.coalesce((F.col("__m") == 1) & (was == 0), F.lit(False))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("__o", F.when(opens, t)).withColumn("__inside", opens | (was == 1))
+    x = x.withColumn("start", F.coalesce(F.last("__o", ignorenulls=True).over(upto), F.col("__start_in")))
+    return x.where(F.col("__inside")).groupBy(*by, "start").agg(
         F.max(order).alias("end"), F.count(F.lit(1)).alias("n"))
 
 
 def merge_intervals(ev: DataFrame, by: list[str], min_gap, start: str = "start", end: str = "end",
                     block=None) -> DataFrame:
     """Join disjoint events whose start lies less than `min_gap` after the previous end."""
-    length = block or min_gap * 64
-    x = with_block(ev, start, length)
-    x = running_last(x, by, [start], F.col(end), "__pe", include_current=False)
-    brk = F.col("__pe").isNull() | (F.col(start) - F.col("__pe") >= min_gap)
-    x = running_last(x, by, [start], F.when(brk, F.col(start)), "__ms")
-    return x.groupBy(*by, F.col("__ms").alias("start")).agg(
+    x = cut(with_block(ev.select(*by, start, end), start, block or min_gap * 64))
+    w = key_window(by, BLOCK).orderBy(start)
+    x = x.withColumn("__pe", F.lag(end).over(w))
+    sure = F.when(F.col(start) - F.col("__pe") >= min_gap, F.col(start))
+    per = x.groupBy(*by, BLOCK).agg(F.min(start).alias("a"), F.max(end).alias("z"), F.max(sure).alias("sure"))
+    seq = key_window(by).orderBy(BLOCK)
+    per = per.withColumn("__pe_in", F.lag("z").over(seq))
+    first = F.when(F.col("__pe_in").isNull() | (F.col("a") - F.col("__pe_in") >= min_gap), F.col("a"))
+    per = per.withColumn("last_start", F.coalesce("sure", first)).select(
+        *by, BLOCK, "__pe_in", F.last("last_start", ignorenulls=True).over(
+            seq.rowsBetween(Window.unboundedPreceding, -1)).alias("__ms_in"))
+    x = x.join(per, [*by, BLOCK])
+    pe = F.coalesce("__pe", "__pe_in")
+    x = x.withColumn("__b", F.when(pe.isNull() | (F.col(start) - pe >= min_gap), F.col(start)))
+    group = F.coalesce(F.last("__b", ignorenulls=True).over(
+        w.rowsBetween(Window.unboundedPreceding, 0)), F.col("__ms_in"))
+    return x.select(*by, group.alias("__g"), end).groupBy(*by, F.col("__g").alias("start")).agg(
         F.max(end).alias("end"), F.count(F.lit(1)).alias("n_islands"))
 
 
@@ -271,10 +307,11 @@ def event_shape(frames: DataFrame, events: DataFrame, by: list[str], order: str,
     above half the peak to the first peak frame, decay from there to the last such frame.
     """
     keep = [c for c in dict.fromkeys([index, value, low, mid, raw_low, raw_mid]) if c]
+    events = cut(events.select(*by, "start", "end"))
     base = frames.select(*by, F.col(order).alias("__o"), *keep)
-    rows = asof_backward(base, events.select(*by, "start", "end"), by, "__o", "start", ["end"],
-                         block=block)
-    rows = rows.where(F.col("start").isNotNull() & (F.col("__o") <= F.col("end")))
+    rows = asof_backward(base, events, by, "__o", "start", ["end"], block=block)
+    # read twice below: once for the peak, once for the half-peak edges
+    rows = cut(rows.where(F.col("start").isNotNull() & (F.col("__o") <= F.col("end"))))
     key = [*by, "start", "end"]
     # first frame of the maximum: largest value, then smallest index
     top = F.max(F.struct(F.col(value).alias("v"), (-F.col(index)).alias("ni")))

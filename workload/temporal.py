@@ -364,13 +364,13 @@ def task_universe(spark, sf):
 
 
 @query("node_only_tasks", f"""
-WITH {UPLOADS}, u AS (SELECT DISTINCT task FROM up WHERE t = 824083200000000)
+WITH {UPLOADS}, u AS (SELECT DISTINCT task FROM up WHERE t = 789004800000000)
 SELECT DISTINCT vsn, task FROM up WHERE month(make_timestamp(t)) = 7 AND day(make_timestamp(t)) BETWEEN 10 AND 16 AND task NOT IN (SELECT task FROM u)
 """)
 def node_only_tasks(spark, sf):
     ts = F.timestamp_micros("t")
     up = uploads(spark, sf)
-    u = cov_plan.task_universe(up, F.col("t") == 824083200000000)
+    u = cov_plan.task_universe(up, F.col("t") == 789004800000000)
     x = cov_plan.node_only_tasks(up, (F.month(ts) == 7) & F.dayofmonth(ts).between(10, 16), u)
     return x.select("vsn", "task")
 
