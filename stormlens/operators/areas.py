@@ -5,7 +5,7 @@ Areas come as an edge table: area, x1, y1, x2, y2 in metres (any number of rings
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlens.functions import geo
@@ -58,20 +58,22 @@ def _segment_distance():
     return F.hypot(F.col("x") - F.col("x1") - t * dx, F.col("y") - F.col("y1") - t * dy)
 
 
-def _grow(points: DataFrame, point_id: str, find, start_r: float, limit: float) -> DataFrame:
+def _grow(points: DataFrame, point_id: str, find, start_r: float, limit: float, factor: float = 4.0) -> DataFrame:
     """Run `find(points, r)` with growing r on the points not yet answered.
 
     `find` returns exact answers for points that have a candidate within r, so the union
-    over rounds is exact; the number of rounds is log4(limit / start_r).
+    over rounds is exact; the number of rounds is log(limit / start_r) to the base `factor`.
     """
     todo, answers, r = points, None, start_r
     while True:
         found = cut(find(todo, r))
         answers = found if answers is None else answers.unionByName(found)
+        if r > limit:
+            return answers
         todo = cut(todo.join(found.select(point_id), point_id, "left_anti"))
-        if r > limit or todo.isEmpty():
+        if todo.isEmpty():
             return answers
-        r *= 4
+        r *= factor
 
 
 def nearest_area(points: DataFrame, edges: DataFrame, point_id: str, area: str, *,
@@ -115,6 +117,30 @@ def nearest_point(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return _grow(points, left_id, find, start_km, 20_100.0)
 
 
+def nearest_k(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, *,
+              left_ll=("lat", "lon"), right_ll=("t_lat", "t_lon"), start_km: float = 8.0) -> DataFrame:
+    """The k nearest right rows of each left row (rank 1..k by distance, then id).
+
+    A left row is answered once k candidates lie within the search radius; if the right side
+    has fewer than k rows, all of them are returned.
+    """
+    w = Window.partitionBy(left_id).orderBy("dist_km", right_id)
+    enough = right.limit(k).count() >= k
+
+    def find(p, r):
+        near = radius_join(p, right.select(right_id, *right_ll), r, point_ll=left_ll, target_ll=right_ll)
+        near = cut(near.select(left_id, right_id, "dist_km")
+                   .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        if r > 20_100.0:
+            return near
+        full = near.where(F.col("rank") == k).select(left_id)
+        return near.join(full, left_id, "left_semi")
+
+    points = left.select(left_id, *left_ll).where(
+        F.col(left_ll[0]).isNotNull() & F.col(left_ll[1]).isNotNull())
+    return _grow(points, left_id, find, start_km if enough else 20_200.0, 20_100.0, factor=2)
+
+
 def area_report(points_with_distance: DataFrame, limits_km=(1, 5, 10, 35)) -> DataFrame:
     """Counts of points within each distance of any area."""
     km = F.col("distance_m") / 1000.0

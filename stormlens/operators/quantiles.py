@@ -23,26 +23,24 @@ def exact_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str)
     data = df.select(*by, F.col(value).cast("double").alias("__v"))
     data = data.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
     lo_p, hi_p = max(0.0, q - MARGIN), min(1.0, q + MARGIN)
-    sketch = data.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.min("__v").alias("__min"), F.max("__v").alias("__max"),
-        F.percentile_approx("__v", [lo_p, hi_p], ACCURACY).alias("__b"),
-    ).select(
-        *by, "__n",
-        F.when(F.col("__n") <= SMALL_GROUP, F.col("__min")).otherwise(F.col("__b")[0]).alias("__lo"),
-        F.when(F.col("__n") <= SMALL_GROUP, F.col("__max")).otherwise(F.col("__b")[1]).alias("__hi"),
-    )
+    count = F.count(F.lit(1)).alias("__n")
+    bracket = F.percentile_approx("__v", [lo_p, hi_p], ACCURACY).alias("__b")
     if by:
-        joined = data.join(sketch, by)
+        large = data.groupBy(*by).agg(count).where(F.col("__n") > SMALL_GROUP).select(*by)
+        sketch = data.join(large, by, "left_semi").groupBy(*by).agg(bracket)
+        joined = data.join(sketch, by, "left")
     else:
         # one row: broadcasting it is bounded
         one = F.lit(1).alias("__one")
-        joined = data.select("*", one).join(F.broadcast(sketch.select("*", one)), "__one")
-    side = F.when(F.col("__v") < F.col("__lo"), -1).when(F.col("__v") > F.col("__hi"), 1).otherwise(0)
+        sketch = data.agg(count, bracket).select(
+            F.when(F.col("__n") > SMALL_GROUP, F.col("__b")).alias("__b"), one)
+        joined = data.select("*", one).join(F.broadcast(sketch), "__one")
+    v, b = F.col("__v"), F.col("__b")
+    side = F.when(v < b[0], -1).when(v > b[1], 1).otherwise(0)
     counted = (
-        joined.select(*by, "__n", side.alias("__s"),
-                      F.when(side == 0, F.col("__v")).alias("__x"))
-        .groupBy(*by, "__s", "__x").agg(F.count(F.lit(1)).alias("__c"), F.max("__n").alias("__n"))
+        joined.select(*by, side.alias("__s"), F.when(side == 0, v).alias("__x"))
+        .groupBy(*by, "__s", "__x").agg(F.count(F.lit(1)).alias("__c"))
+        .withColumn("__n", F.sum("__c").over(key_window(by)))
     )
     upto = key_window(by).orderBy("__s", "__x").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counted.withColumn("__cum", F.sum("__c").over(upto))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from stormlens.functions.text import REDACTION_MARK, REDACTION_PATTERNS, SUSPICIOUS_LINE
 
 
+STAND_IN = "\ue0f1\ue0f2\ue0f3"   # private-use characters
+
+
 def _java(pattern: str) -> str:
     """Unicode-aware character classes, as in the original definition of the patterns."""
     return "(?U)" + pattern
@@ -19,26 +22,34 @@ def redact(df: DataFrame, text: str, secrets: list[str] | None = None, patterns=
     Adds `redacted` and `counts` (map class -> replacements). Each count is taken on the text
     as the previous step left it.
     """
-    x = df.withColumn("__t", F.col(text)).withColumn("__n0", F.lit(0).cast("bigint"))
-    for i, s in enumerate(sorted(set(secrets or []), key=lambda v: (-len(v), v))):
-        gone = F.replace(F.col("__t"), F.lit(s), F.lit(""))
-        n = (F.length("__t") - F.length(gone)) / len(s)
-        x = x.withColumn(f"__s{i}", n.cast("bigint"))
+    def marks(mark: str):
+        return ((F.length("__t") - F.length(F.replace(F.col("__t"), F.lit(mark), F.lit("")))) / len(mark)).cast("bigint")
+
+    x, pairs = df.withColumn("__t", F.col(text)), []
+    exact = [("exact-secret", s) for s in sorted(set(secrets or []), key=lambda v: (-len(v), v))]
+    x = x.withColumn("__n", F.lit(0).cast("bigint"))
+    for _, s in exact:
+        x = x.withColumn("__n", F.col("__n") + marks(s))
         x = x.withColumn("__t", F.replace(F.col("__t"), F.lit(s), F.lit("[REDACTED:exact]")))
-        x = x.withColumn("__n0", F.col("__n0") + F.col(f"__s{i}")).drop(f"__s{i}")
-    names = []
-    for i, (name, pattern, group) in enumerate(patterns, 1):
-        rx = F.lit(_java(pattern))
-        keep = f"${group}" if group else ""
-        x = x.withColumn(f"__n{i}", F.regexp_count("__t", rx).cast("bigint"))
-        x = x.withColumn("__t", F.regexp_replace("__t", rx, F.lit(f"{keep}[REDACTED:{name}]")))
-        names.append((name, f"__n{i}"))
-    pairs = [F.lit("exact-secret"), F.col("__n0")]
-    for name, c in names:
-        pairs += [F.lit(name), F.col(c)]
+    pairs += [F.lit("exact-secret"), F.col("__n")]
+    for i, (name, pattern, group) in enumerate(patterns):
+        # a stand-in is put in, counted and then turned into the mark: one regex pass per pattern
+        x = x.withColumn("__t", F.regexp_replace(
+            "__t", F.lit(_java(pattern)), F.lit((f"${group}" if group else "") + STAND_IN)))
+        x = x.withColumn(f"__a{i}", marks(STAND_IN))
+        x = x.withColumn("__t", F.replace(F.col("__t"), F.lit(STAND_IN), F.lit(f"[REDACTED:{name}]")))
+        pairs += [F.lit(name), F.col(f"__a{i}")]
     return x.select(*df.columns, F.col("__t").alias("redacted"), F.create_map(*pairs).alias("counts"))
 
 
+def class_totals(redacted: DataFrame, patterns=REDACTION_PATTERNS) -> DataFrame:
+    """(class, n) over all documents, summed before anything is turned into rows."""
+    names = ["exact-secret", *[p[0] for p in patterns]]
+    one = redacted.agg(*[F.sum(redacted.counts[n]).alias(n) for n in names])
+    return one.select(F.explode(F.array(*[
+        F.struct(F.lit(n).alias("class"), F.col(f"`{n}`").alias("n")) for n in names])).alias("r")).select("r.*")
+
+
 def residual_risk(df: DataFrame, key: list[str], text: str) -> DataFrame:
     """(key, line number from 1, line) of lines that look risky and carry no redaction mark."""
     lines = df.select(*key, F.posexplode(F.split(text, "\n")).alias("__p", "line"))

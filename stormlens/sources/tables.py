@@ -22,6 +22,16 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}")
 
 
+def balanced(scan: DataFrame) -> DataFrame:
+    """Spread a file scan that has fewer splits than there are cores.
+
+    Meant for a few unsplittable files read by costly work. A cluster-size input has more
+    splits than cores, and then nothing is added. Only for plain scans.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def write_shards(df: DataFrame, path: str, keys: list[str]) -> None:
     """Replace only the shards (partitions) present in `df`; units without rows write nothing."""
     (df.repartition(*keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormlens.functions.timecols import micros
+from stormlens.sources.tables import balanced
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,10 +31,11 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(df) if spread else df
 
 
 def lat_of(c: str, m: int = 37) -> Column:
@@ -76,7 +78,7 @@ FIRES = """fires AS (SELECT c_custkey AS fire_id, 35.0::DOUBLE + (c_custkey*37 %
 
 def flashes(spark, sf, good: bool = True) -> DataFrame:
     """Flashes; quality 0 (the kept ones) is return flag A."""
-    l = table(spark, sf, "lineitem")
+    l = table(spark, sf, "lineitem", spread=True)
     if good:
         l = l.where("l_returnflag = 'A'")
     return l.select((micros("l_shipdate") + F.col("l_orderkey") % 24 * HOUR).alias("t"), lat_of("l_partkey", 53).alias("lat"),

@@ -189,7 +189,7 @@ _RSQL, _LAST, _NAMES = _redact_sql()
 
 @query("redact_text", f"WITH {_RSQL} SELECT doc_id, md5(t) AS text_md5, n_exact, CAST({' + '.join(f'c{n}' for n in _NAMES)} AS BIGINT) AS n_patterns FROM x{_LAST}")
 def redact_text(spark, sf):
-    x = rd.redact(table(spark, sf, "documents").select("doc_id", "text"), "text", SECRETS)
+    x = rd.redact(table(spark, sf, "documents", spread=True).select("doc_id", "text"), "text", SECRETS)
     total = F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"), lambda a, v: a + v)
     return x.select("doc_id", F.md5("redacted").alias("text_md5"), x.counts["exact-secret"].alias("n_exact"),
                     (total - x.counts["exact-secret"]).alias("n_patterns"))
@@ -198,8 +198,8 @@ def redact_text(spark, sf):
 @query("redaction_classes", f"""WITH {_RSQL} {' UNION ALL '.join(f"SELECT '{tx.REDACTION_PATTERNS[i][0]}' AS class, CAST(sum(c{n}) AS BIGINT) AS n FROM x{_LAST}" for i, n in enumerate(_NAMES))}
  UNION ALL SELECT 'exact-secret', CAST(sum(n_exact) AS BIGINT) FROM x{_LAST}""")
 def redaction_classes(spark, sf):
-    x = rd.redact(table(spark, sf, "documents").select("doc_id", "text"), "text", SECRETS)
-    return x.select(F.explode("counts").alias("class", "k")).groupBy("class").agg(F.sum("k").alias("n"))
+    x = rd.redact(table(spark, sf, "documents", spread=True).select("doc_id", "text"), "text", SECRETS)
+    return rd.class_totals(x)
 
 
 @query("residual_risk", f"""

@@ -1,13 +1,11 @@
 """Array signals, images as pixel arrays, localisation and learning."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stormlens.functions import geo
 from stormlens.operators import evaluate, localize, ml, signal
-from stormlens.operators.detect import DetectorConfig
-from stormlens.operators.joins import radius_join
-from workload.base import DAY, EVENTS, FIRES, HOUR, NODES, events, fires, nodes, planar, query, r6, table
+from stormlens.operators.areas import nearest_k
+from workload.base import EVENTS, FIRES, NODES, events, fires, hav, nodes, query, r6, table
 
 
 def _emb(spark, sf):
@@ -174,10 +172,9 @@ def score_comparison(spark, sf):
 
 def _near_nodes(spark, sf, k):
     """The k nearest nodes of each fire with local coordinates and the exact range."""
-    p = radius_join(fires(spark, sf), nodes(spark, sf).select("vsn", "n_lat", "n_lon"), 60.0, point_ll=("f_lat", "f_lon"),
-                    target_ll=("n_lat", "n_lon"))
-    w = Window.partitionBy("fire_id").orderBy("dist_km", "vsn")
-    p = p.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k)
+    f, n = fires(spark, sf), nodes(spark, sf).select("vsn", "n_lat", "n_lon")
+    p = nearest_k(f, n, "fire_id", "vsn", k, left_ll=("f_lat", "f_lon"), right_ll=("n_lat", "n_lon"))
+    p = p.withColumnRenamed("rank", "rk").join(n, "vsn").join(f.select("fire_id", "f_lat", "f_lon"), "fire_id")
     x, y = geo.east_m("n_lon", F.lit(35.5), F.lit(-119.3)), geo.north_m("n_lat", F.lit(35.5))
     fx, fy = geo.east_m("f_lon", F.lit(35.5), F.lit(-119.3)), geo.north_m("f_lat", F.lit(35.5))
     return p.select("fire_id", "vsn", "rk", x.alias("x"), y.alias("y"), fx.alias("fx"), fy.alias("fy"),
@@ -196,6 +193,16 @@ def multilaterate(spark, sf):
     return sol.select("fire_id", "n", (err < 1.0).alias("at_truth"), "bimodal", "degenerate")
 
 
+@query("nearest_six_nodes", f"""
+WITH {NODES}, {FIRES} SELECT fire_id, vsn, rank, round(d, 6) AS dist_km FROM (SELECT fire_id, vsn, d, row_number() OVER (PARTITION BY fire_id ORDER BY d, vsn) AS rank
+ FROM (SELECT fire_id, vsn, {hav('n_lat', 'n_lon', 'f_lat', 'f_lon')} AS d FROM nodes, fires)) WHERE rank <= 6
+""")
+def nearest_six_nodes(spark, sf):
+    x = nearest_k(fires(spark, sf), nodes(spark, sf).select("vsn", "n_lat", "n_lon"), "fire_id", "vsn", 6,
+                  left_ll=("f_lat", "f_lon"), right_ll=("n_lat", "n_lon"))
+    return x.select("fire_id", "vsn", F.col("rank").cast("bigint").alias("rank"), r6("dist_km").alias("dist_km"))
+
+
 @query("fuse_strikes")
 def fuse_strikes(spark, sf):
     """Views are flashes, purchases thunder; a second becomes a minute."""
