@@ -75,11 +75,11 @@ def running_totals(df: DataFrame, order: str, totals: dict[str, Column], n_block
     distinct = cut(distinct)
     probs = [i / n_blocks for i in range(1, n_blocks)]
     one = F.lit(1).alias("__one")
-    splits = distinct.agg(F.percentile_approx(order, probs, ACCURACY).alias("s")).select("s", one)
+    splits = distinct.agg(F.percentile_approx(order, probs, ACCURACY).alias("__splits")).select("__splits", one)
     # one row of n_blocks numbers: broadcasting it is bounded
     with_splits = distinct.select("*", one).join(F.broadcast(splits), "__one")
     blocked = cut(with_splits.select(
-        order, *totals, F.size(F.filter("s", lambda s: s < F.col(order))).alias("__b")))
+        order, *totals, F.size(F.filter("__splits", lambda s: s < F.col(order))).alias("__b")))
     sums = blocked.groupBy("__b").agg(*[F.sum(n).alias("__t_" + n) for n in totals])
     earlier = Window.partitionBy(F.lit(0)).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     carried = sums.select("__b", *[
