@@ -94,9 +94,9 @@ def incident_stream(events: DataFrame, *, lateness: str = "30 seconds", region:
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     key = F.col(region).cast("string") if region else F.lit("fleet")
     ts = F.timestamp_micros((F.col("time_epoch") * 1e6).cast("bigint"))
-    # other event types advance the watermark but are not kept
+    # other event types only advance the watermark; a filter here would be moved below it
     x = events.select(key.alias("region"), "type", "vsn", "time_epoch", "implied_range_km", ts.alias("ts"))
-    x = x.withWatermark("ts", lateness).where(F.col("type").isin("flash", "thunder"))
+    x = x.withWatermark("ts", lateness)
     vsn = x.schema["vsn"].dataType.simpleString()
     return x.groupBy("region").transformWithStateInPandas(
         statefulProcessor=IncidentProcessor(width_s, *pair_s, temp_c),
