@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stormlens.operators.blocks import key_window
 from stormlens.session import cut
 
-ACCURACY = 10_000          # rank error of the sketch is at most n / ACCURACY
+ACCURACY = 50_000          # rank error of the sketch is at most n / ACCURACY
 MARGIN = 5.0 / ACCURACY    # the bracket is this wide on either side
 SMALL_GROUP = 50_000       # groups up to this size skip the bracket
 
@@ -18,7 +18,8 @@ def exact_quantile(df: DataFrame, by: list[str], value: str, q: float, out: str)
 
     A mergeable rank sketch brackets the wanted rank; only rows inside the bracket are
     kept as distinct values, rows outside are just counted. A hot key therefore sends
-    about a thousandth of its rows to the final ranking.
+    about one row in five thousand to the final ranking. Groups up to SMALL_GROUP rows skip
+    the sketch.
     """
     data = df.select(*by, F.col(value).cast("double").alias("__v"))
     data = data.where(F.col("__v").isNotNull() & ~F.isnan("__v"))
@@ -75,7 +76,7 @@ def running_totals(df: DataFrame, order: str, totals: dict[str, Column], n_block
     distinct = cut(distinct)
     probs = [i / n_blocks for i in range(1, n_blocks)]
     one = F.lit(1).alias("__one")
-    splits = distinct.agg(F.percentile_approx(order, probs, ACCURACY).alias("__splits")).select("__splits", one)
+    splits = distinct.agg(F.percentile_approx(order, probs, 10_000).alias("__splits")).select("__splits", one)
     # one row of n_blocks numbers: broadcasting it is bounded
     with_splits = distinct.select("*", one).join(F.broadcast(splits), "__one")
     blocked = cut(with_splits.select(

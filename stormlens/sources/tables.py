@@ -52,16 +52,15 @@ def append_json(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def strike_document(strikes: DataFrame, nodes: DataFrame, truth: DataFrame | None = None) -> DataFrame:
-    """One JSON document of nodes, strikes and truth.
-
-    A single-document export for display; at scale write the strike table instead.
-    """
-    def packed(df, order):
-        return df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(order, *[c for c in df.columns if c != order])))))
-    parts = [packed(nodes, "vsn").scalar().alias("nodes"), packed(strikes, "t_strike").scalar().alias("strikes")]
-    if truth is not None:
-        parts.append(packed(truth, truth.columns[0]).scalar().alias("truth"))
-    one = nodes.sparkSession.range(1).select(*parts)
-    doc = F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{c}":'), F.col(c)) for c in one.columns]), F.lit("}"))
-    return one.select(doc.alias("value"))
+def strike_documents(strikes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One JSON document per strike with the positions of the nodes that ranged it."""
+    heard = strikes.select("t_strike", F.explode(F.map_keys("ranges")).alias("vsn")).join(
+        nodes.select("vsn", "lat", "lon"), "vsn")
+    at = heard.groupBy("t_strike").agg(F.array_sort(F.collect_list(F.struct("vsn", "lat", "lon"))).alias("nodes"))
+    x = strikes.join(at, "t_strike", "left")
+    return x.select(F.to_json(F.struct(*x.columns)).alias("value"))
+
+
+def write_documents(docs: DataFrame, path: str, batch_id: int | None = None) -> None:
+    """JSON lines; a streaming batch replaces its own folder on a retry."""
+    docs.write.mode("overwrite").text(path if batch_id is None else f"{path}/batch={batch_id}")

@@ -63,6 +63,9 @@ class IncidentProcessor(StatefulProcessor):
         oldest = min([watermark, *s["flashes"]])
         s["thunder"] = [k for k in thunder if k[1] >= oldest + self.lo]
         self.store.update((json.dumps(s),))
+        if s["flashes"]:
+            # one timer, for the oldest open incident; closing it sets the next
+            self.handle.registerTimer(int((s["flashes"][0] + self.hi) * 1000) + 2)
         return pd.DataFrame(rows, columns=["region", "t_strike", "vsn", "ranges"])
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -72,7 +75,6 @@ class IncidentProcessor(StatefulProcessor):
                 t = float(r.time_epoch)
                 if r.type == "flash":
                     s["flashes"].append(t)
-                    self.handle.registerTimer(int((t + self.hi) * 1000) + 2)
                 elif r.type == "thunder":
                     km = r.implied_range_km
                     s["thunder"].append([r.vsn, t, None if km is None or km != km else float(km)])

@@ -206,10 +206,11 @@ def test_tables(spark, tmp_path):
     assert [r.date for r in scan.to_do(df, spark.read.parquet(str(tmp_path / "done")), ["sat", "date"]).collect()] == ["2024-01-02"]
     tables.write_table(df, str(tmp_path), "scan_plan")
     assert tables.read_table(spark, str(tmp_path), "scan_plan").count() == 2
-    s = spark.createDataFrame([(1.0, "fix")], "t_strike double, quality string")
-    n = spark.createDataFrame([("W1", 35.0)], "vsn string, lat double")
-    doc = json.loads(tables.strike_document(s, n).first().value)
-    assert doc == {"nodes": [{"vsn": "W1", "lat": 35.0}], "strikes": [{"t_strike": 1.0, "quality": "fix"}]}
+    s = spark.createDataFrame([(1.0, "fix", {"W1": 3.0})], "t_strike double, quality string, ranges map<string,double>")
+    n = spark.createDataFrame([("W1", 35.0, -119.0)], "vsn string, lat double, lon double")
+    tables.write_documents(tables.strike_documents(s, n), str(tmp_path / "docs"), 4)
+    doc = json.loads(spark.read.text(str(tmp_path / "docs/batch=4")).first().value)
+    assert doc == {"t_strike": 1.0, "quality": "fix", "ranges": {"W1": 3.0}, "nodes": [{"vsn": "W1", "lat": 35.0, "lon": -119.0}]}
 
 
 def test_explosion_guard(spark):

@@ -439,7 +439,5 @@ def case_fires(spark, sf):
     cases = n.select(F.col("vsn").alias("case_id"), F.col("n_lat").alias("c_lat"), F.col("n_lon").alias("c_lon"),
                      (F.lit(883612800000000) + F.col("vsn") * DAY).alias("t0"),
                      (F.lit(883612800000000) + (F.col("vsn") + 90) * DAY).alias("t1"), (F.col("vsn") * 3).alias("featured_id"))
-    x = incidents.case_fires(cases, fires(spark, sf).select("fire_id", "discovery", "size_acres", "f_lat", "f_lon"))
-    feat = F.size(F.filter("fires", lambda f: f["featured"]))
-    return x.select("case_id", F.coalesce(F.size("fires"), F.lit(0)).cast("bigint").alias("n_fires"),
-                    F.coalesce(feat, F.lit(0)).cast("bigint").alias("n_featured"), F.col("fires")[0]["fire_id"].alias("first_id"))
+    rows = incidents.case_fires(cases, fires(spark, sf).select("fire_id", "discovery", "size_acres", "f_lat", "f_lon"))
+    return incidents.case_summary(cases, rows).select("case_id", "n_fires", "n_featured", "first_id")

@@ -237,17 +237,18 @@ def media_index(spark, sf):
 
 
 @query("feed_inputs", """
-WITH d AS (SELECT c_nationkey AS nation, array_agg(c_mktsegment ORDER BY c_custkey) AS kinds, min(CASE WHEN c_acctbal > 0 THEN c_acctbal END) AS cell, count(*) AS n FROM customer GROUP BY 1)
-SELECT nation, list_filter(list_transform(kinds, lambda k: lower(k) || ' watch'), lambda k: contains(k, 'building'))[1] AS event, list_contains(kinds, 'BUILDING') AS elevated, cell AS nearest_cell_km, n AS strikes FROM d
+SELECT conv_id, min(turn) FILTER (WHERE role = 'assistant') IS NOT NULL AS elevated, CASE WHEN count(*) FILTER (WHERE role = 'assistant') > 0 THEN 'red flag assistant' END AS event,
+ min(length(text)) FILTER (WHERE length(text) > 20)::DOUBLE AS nearest_cell_km, count(*) AS strikes FROM conversations GROUP BY 1
 """)
 def feed_inputs(spark, sf):
-    c = table(spark, sf, "customer")
-    kind = F.when(F.col("c_mktsegment") == "BUILDING", "Severe Weather BUILDING Watch").otherwise(F.concat("c_mktsegment", F.lit(" Watch")))
-    d = c.groupBy("c_nationkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", kind.alias("k")))), lambda s: s["k"]).alias("events"),
-        F.collect_list(F.struct(F.struct(F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("distanceKM")).alias("ob"),
+    """One conversation stands for one feed response."""
+    c = table(spark, sf, "conversations")
+    kind = F.when(F.col("role") == "assistant", "Red Flag ASSISTANT").otherwise(F.concat("role", F.lit(" note")))
+    km = F.when(F.length("text") > 20, F.length("text").cast("double"))
+    d = c.groupBy("conv_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("turn", kind.alias("k")))), lambda s: s["k"]).alias("events"),
+        F.collect_list(F.struct(F.struct(km.alias("distanceKM")).alias("ob"),
                                 F.lit(None).cast("double").alias("distanceKM"))).alias("response"))
     ev = tx.elevated_event("events")
-    return d.select(F.col("c_nationkey").alias("nation"), F.replace(ev, F.lit("severe weather "), F.lit("")).alias("event"),
-                    ev.isNotNull().alias("elevated"), feeds.nearest_cell_km("response").alias("nearest_cell_km"),
-                    F.size("response").cast("bigint").alias("strikes"))
+    return d.select("conv_id", ev.isNotNull().alias("elevated"), ev.alias("event"),
+                    feeds.nearest_cell_km("response").alias("nearest_cell_km"), F.size("response").cast("bigint").alias("strikes"))
