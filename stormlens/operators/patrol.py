@@ -49,6 +49,23 @@ def before_after_pairs(frames: DataFrame, by: list[str], order: str, frame: str)
         F.col("before").isNotNull())
 
 
+def apply_head(pairs: DataFrame, head, columns: list[str], out: str = "detections") -> DataFrame:
+    """Run a user-supplied detection head (a pandas_udf over the named columns) on frame pairs."""
+    return pairs.withColumn(out, head(*columns))
+
+
+def mark_loudest(clips: DataFrame, by: list[str], level: str, clip: str, top: int = 5) -> DataFrame:
+    """Loudest-first rank of the `top` clips of each case; other clips have no rank.
+
+    Ranks are limited before the shuffle, so a case with very many clips is no burden.
+    """
+    from pyspark.sql import Window
+    w = Window.partitionBy(*by).orderBy(F.col(level).desc(), clip)
+    best = clips.withColumn("loud_rank", F.row_number().over(w)).where(F.col("loud_rank") <= top)
+    x = clips.join(best.select(*by, clip, "loud_rank"), [*by, clip], "left")
+    return x.withColumn("default_clip", F.coalesce(F.col("loud_rank") == 1, F.lit(False)))
+
+
 def patrol_result(visits: DataFrame, by: list[str], detections: str, caption: str) -> DataFrame:
     """Visited and flagged counts; a visit is flagged by detections or a plume caption."""
     flagged = (F.col(detections) > 0) | F.coalesce(

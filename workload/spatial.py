@@ -340,3 +340,23 @@ def range_rings(spark, sf):
     x = nodes(spark, sf).select("vsn", F.posexplode(geo.ring_points("n_lat", "n_lon", 5000.0)).alias("k", "p"))
     return x.select("vsn", F.round("p.lon", 9).alias("lon"), F.round("p.lat", 9).alias("lat"),
                     F.col("k").cast("bigint").alias("k"))
+
+
+@query("loudest_per_node", f"""
+WITH {EVENTS}, r AS (SELECT event_id, vsn, row_number() OVER (PARTITION BY vsn ORDER BY value DESC, event_id) AS r FROM ev)
+SELECT event_id, vsn, CASE WHEN r <= 5 THEN r END AS loud_rank, r = 1 AS default_clip FROM r
+""")
+def loudest_per_node(spark, sf):
+    from stormlens.operators.patrol import mark_loudest
+    x = mark_loudest(events(spark, sf).select("event_id", "vsn", "value"), ["vsn"], "value", "event_id")
+    return x.select("event_id", "vsn", F.col("loud_rank").cast("bigint").alias("loud_rank"), "default_clip")
+
+
+@query("case_media", f"""
+WITH {EVENTS} SELECT event_id, vsn, name AS task, t FROM ev WHERE vsn IN (1, 2, 3, 5, 8) AND regexp_matches(name, 'view|error')
+ AND t BETWEEN 1704500000000000 AND 1706000000000000
+""")
+def case_media(spark, sf):
+    from stormlens.sources.media import case_media as listing
+    e = events(spark, sf).select("event_id", "vsn", F.col("name").alias("task"), "t")
+    return listing(e, [1, 2, 3, 5, 8], "view|error", 1704500000000000, 1706000000000000)
