@@ -75,13 +75,17 @@ def dry_candidates(storms: DataFrame, rain: DataFrame, fires: DataFrame, nodes:
     9 h after) counts, else that of the UTC day; the screen is inclusive. The nearest fire
     within 35 km discovered in [last flash, + 72 h] is kept.
     """
-    s = storms.withColumn("__d0", F.col("day") * DAY_US).withColumn("__d1", (F.col("day") + 1) * DAY_US)
-    s = s.withColumn("__w0", F.col("first_flash") - BEFORE_H * HOUR_US).withColumn(
-        "__w1", F.col("last_flash") + AFTER_H * HOUR_US)
     key = ["vsn", "day"]
-    s = counter_delta(rain, s, ["vsn"], "hour", "__w0", "__w1", key, "rain_storm_mm", bucket=2 * DAY_US)
-    s = counter_delta(rain, s, ["vsn"], "hour", "__d0", "__d1", key, "rain_day_mm", bucket=2 * DAY_US)
-    s = s.where(F.coalesce("rain_storm_mm", "rain_day_mm") <= dry_mm)
+    s = cut(storms)  # a small table that the joins below read several times
+    first, last, day = F.col("first_flash"), F.col("last_flash"), F.col("day")
+    spans = F.array(
+        F.struct(F.lit(True).alias("storm"), (first - BEFORE_H * HOUR_US).alias("a"), (last + AFTER_H * HOUR_US).alias("z")),
+        F.struct(F.lit(False).alias("storm"), (day * DAY_US).alias("a"), ((day + 1) * DAY_US).alias("z")))
+    w = s.select(*key, F.explode(spans).alias("w")).select(*key, "w.*")
+    mm = counter_delta(rain, w, ["vsn"], "hour", "a", "z", [*key, "storm"], "mm", bucket=2 * DAY_US)
+    mm = mm.groupBy(*key).agg(F.max(F.when(F.col("storm"), F.col("mm"))).alias("rain_storm_mm"),
+                              F.max(F.when(~F.col("storm"), F.col("mm"))).alias("rain_day_mm"))
+    s = cut(s.join(mm, key).where(F.coalesce("rain_storm_mm", "rain_day_mm") <= dry_mm))
     window = FIRE_WINDOW_H * HOUR_US
     t = s.join(nodes.select("vsn", "n_lat", "n_lon"), "vsn").withColumn(
         "__end", F.col("last_flash") + window)
@@ -90,6 +94,6 @@ def dry_candidates(storms: DataFrame, rain: DataFrame, fires: DataFrame, nodes:
                       point_ll=("f_lat", "f_lon"), target_ll=("n_lat", "n_lon"),
                       time=("discovery", "last_flash", "__end", window), out="fire_dist_km")
     best = hit.groupBy(*key).agg(F.min(F.struct("fire_dist_km", "fire_id", "discovery")).alias("f"))
-    out = s.drop("__d0", "__d1", "__w0", "__w1").join(best, key)
+    out = s.join(best, key)
     return out.select("*", F.col("f.fire_id").alias("fire_id"), F.col("f.fire_dist_km").alias("fire_dist_km"),
                       ((F.col("f.discovery") - F.col("last_flash")) / HOUR_US).alias("lag_h")).drop("f")

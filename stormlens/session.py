@@ -17,6 +17,8 @@ def build_session(app: str = "stormlens", master: str | None = None, **conf) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # files of checkpoints that nothing refers to any more are removed
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         # costly rows (solvers, regexes) make small partitions worth keeping
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
