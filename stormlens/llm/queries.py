@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormlens.llm import simhash, substring
-from stormlens.llm.common import read
+from stormlens.llm import language, mixing, packing, simhash, substring
+from stormlens.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,12 +24,44 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+@query("op1_language_id")
+def op1(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held_out = bucket_of("doc_id", 4) == 2
+    net = language.learn(docs, ~held_out)
+    return language.identify_ids(docs, net, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
+@query("op2_best_fit_packing")
+def op2(spark, sf_dir):
+    return packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 @query("op3_simhash_near_dedup")
 def op3(spark, sf_dir):
     got = simhash.near_duplicates(read(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op6_source_mixing", """
+WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+  r AS (SELECT source, sum(n) OVER () * sqrt(n::DOUBLE) / sum(sqrt(n::DOUBLE)) OVER () / n AS rate FROM s),
+  p AS (SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+    FROM (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 12 * sqrt(rate) + 40) AS BIGINT))) AS k FROM r)),
+  u AS (SELECT doc_id, source, ('0x' || substr(md5('mix:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+  c AS (SELECT doc_id, u.source, count(*) AS n_copies FROM u JOIN p ON p.source IS NOT DISTINCT FROM u.source AND p.cdf <= u.u GROUP BY ALL)
+SELECT doc_id, source, CAST(n_copies AS INTEGER) AS n_copies, CAST(copy AS INTEGER) AS copy,
+  substr(md5('mix order:' || doc_id || ':' || copy), 1, 16) AS shuffle_order
+FROM (SELECT doc_id, source, n_copies, unnest(range(n_copies)) AS copy FROM c)""")
+def op6(spark, sf_dir):
+    got = mixing.mix(read(spark, sf_dir, "documents"))
+    return got.select("doc_id", "source", F.col("__copies").alias("n_copies"), F.col("__copy").alias("copy"),
+                      F.col("__order").alias("shuffle_order"))
+
+
 @query("op7_substring_dedup", r"""
 WITH w AS (SELECT doc_id, unnest(l) AS word, generate_subscripts(l, 1) AS pos FROM (
     SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l FROM documents)),
