@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormlens.llm import language, mixing, packing, simhash, substring
+from stormlens.llm import ann, language, mixing, packing, simhash, substring, topk
 from stormlens.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -75,3 +75,20 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_remo
 FROM documents LEFT JOIN r USING (doc_id)""")
 def op7(spark, sf_dir):
     return substring.digest(read(spark, sf_dir, "documents"))
+
+
+@query("op8_cross_polytope_ann")
+def op8(spark, sf_dir):
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op9_exact_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i]))::BIGINT AS score
+    FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""")
+def op9(spark, sf_dir):
+    return topk.top_products(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
