@@ -116,7 +116,7 @@ def long_column(batch: pa.RecordBatch, name: str, null: int = 0) -> np.ndarray:
     col = batch.column(batch.schema.get_field_index(name))
     if col.null_count:
         col = col.fill_null(null)
-    return col.to_numpy(zero_copy_only=False)
+    return col.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:

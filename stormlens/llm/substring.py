@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stormlens.llm.common import CHUNK_BYTES, binary_column, chunks, groups_of, long_column, run_hashes, signed, span_hashes, word_spans
+from stormlens.llm.common import CHUNK_BYTES, binary_column, chunks, long_column, run_hashes, signed, span_hashes, starts_of, word_spans
 
 WINDOW, PHRASE = 20, 6
 #: Index rows that a task combines before it hands them on.
@@ -70,107 +70,100 @@ def _local(count: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, at - first[text]
 
 
+def _in_batches(cols, names, size=100_000):
+    for i in range(0, len(cols[0]), size):
+        yield pa.RecordBatch.from_arrays([pa.array(x[i:i + size]) for x in cols], names=names)
+
+
+def _combined(held, size, most, flush):
+    """Hands on what a task holds once it is large enough; returns what stays."""
+    if size >= most:
+        yield from flush([np.concatenate(x) for x in zip(*held)])
+        held.clear()
+
+
 def _anchor_rows(window: int, phrase: int):
-    """Per text: its anchors. Of an anchor that the task has seen twice, one row stays to tell others (state 1)."""
-    names = ["h", "key", "doc", "pos", "state", "deal"]
+    """Per text: its anchors. Of an anchor that the task has seen twice, one row stays to tell others
+    (state 1) and the rest, known to be shared, are dealt anywhere (state 2)."""
+    def flush(cols):
+        h, key, doc, pos = cols
+        order = np.argsort(h, kind="stable")
+        new = np.ones(len(h), bool)
+        new[1:] = h[order][1:] != h[order][:-1]
+        size = np.diff(np.append(np.flatnonzero(new), len(h)))
+        state = np.zeros(len(h), np.int64)
+        # back in the order of the text, which compresses better
+        state[order] = np.where(np.repeat(size > 1, size), np.where(new, 1, 2), 0)
+        deal = np.where(state == 2, (doc << 20) ^ pos, signed(h))
+        yield from _in_batches((deal, doc, key, pos << 2 | state), ["deal", "doc", "key", "ps"])
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def flush():
-            h, key, doc, pos = (np.concatenate(x) for x in zip(*held))
-            order = np.argsort(h, kind="stable")
-            h, key, doc, pos = h[order], key[order], doc[order], pos[order]
-            new = np.ones(len(h), bool)
-            new[1:] = h[1:] != h[:-1]
-            at = np.flatnonzero(new)
-            many = np.repeat(np.diff(np.append(at, len(h))) > 1, np.diff(np.append(at, len(h))))
-            state = np.where(many, np.where(new, 1, 2), 0)
-            deal = np.where(state == 2, key ^ (pos.astype(np.int64) << 40), signed(h))
-            for i in range(0, len(h), 100_000):
-                s = slice(i, i + 100_000)
-                yield pa.RecordBatch.from_arrays([pa.array(x[s]) for x in (signed(h), key, doc, pos.astype(np.int32), state.astype(np.int8), deal)], names=names)
-
         for batch in batches:
             key, doc = long_column(batch, "__key"), long_column(batch, "__doc")
             for lo, hi, h, count in _words(batch):
                 _, anchor, g = _windows(h, count, window, phrase)
-                at = anchor[np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))] if len(anchor) else anchor
-                if not len(at):
-                    continue
-                at = np.unique(at)
+                at = np.unique(anchor)
                 text, pos = _local(count, at)
                 held.append((g[at], key[lo:hi][text], doc[lo:hi][text], pos))
-                size += len(at)
-                if size >= COMBINE:
-                    yield from flush()
-                    held, size = [], 0
+                yield from _combined(held, sum(len(x[0]) for x in held), COMBINE, flush)
         if held:
-            yield from flush()
+            yield from _combined(held, COMBINE, COMBINE, flush)
     return run
 
 
 def _shared_anchors(batches):
-    """Rows sorted by (deal, h): those of anchors with at least two places."""
+    """Rows sorted by `deal`, the anchor's hash: those of anchors with at least two places."""
     last, first_row, known = None, None, False
 
     def out(key, doc, pos):
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), pa.array(pos)], names=["key", "doc", "pos"])
+        return pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(doc), pa.array(pos.astype(np.int32))], names=["key", "doc", "pos"])
 
     for b in batches:
-        deal, h, key, doc, pos, state = (long_column(b, c) for c in ("deal", "h", "key", "doc", "pos", "state"))
-        n = len(h)
+        deal, doc, key, ps = (long_column(b, c) for c in ("deal", "doc", "key", "ps"))
+        n = len(deal)
         if not n:
             continue
-        new = np.ones(n, bool)
-        new[1:] = (h[1:] != h[:-1]) | (deal[1:] != deal[:-1])
-        same_as_last = last == (deal[0], h[0])
-        at = np.flatnonzero(new)
+        pos, state = ps >> 2, ps & 3
+        at = starts_of({"deal": deal}, ["deal"])
         size = np.diff(np.append(at, n))
-        shared = np.repeat((size > 1) | (np.maximum.reduceat(state, at) > 0), size) | (state == 2)
-        if same_as_last:
+        shared = np.repeat((size > 1) | (np.maximum.reduceat(state, at) > 0), size)
+        if last == deal[0]:
             shared[:size[0]] = True
             if not known:
                 yield out(*(x[None] for x in first_row))
         keep = np.flatnonzero(shared)
         yield out(key[keep], doc[keep], pos[keep])
         # the last group may go on in the next batch
-        last, first_row = (deal[-1], h[-1]), (key[-1], doc[-1], pos[-1])
-        known = bool(shared[-1])
+        last, first_row, known = deal[-1], (key[-1], doc[-1], pos[-1]), bool(shared[-1])
 
 
 def _claims(window: int, phrase: int):
-    """Windows on shared anchors. Of equal ones in a task the first goes on as a claim, the rest are repeats at once."""
-    names = ["w1", "w2", "key", "doc", "pos", "n"]
+    """Windows on shared anchors. Of equal ones in a task the first goes on as a claim, the rest are repeats at once.
+
+    A claim is (w1, w2 and place, document, key and 0); a run of n repeats has n instead of 0.
+    """
+    low = np.uint64(0xFFFFFFFF)
+
+    def flush(cols):
+        w1, w2, key, doc, pos = cols
+        order = np.lexsort((pos, doc, w2, w1))
+        new = starts_of({"a": w1[order], "b": w2[order]}, ["a", "b"])
+        first = order[np.repeat(new, np.diff(np.append(new, len(order))))]
+        claim = np.zeros(len(order), bool)
+        claim[order] = (doc[order] == doc[first]) & (pos[order] == pos[first])
+        c = np.flatnonzero(claim)
+        rest = np.flatnonzero(~claim)
+        rest = rest[np.lexsort((pos[rest], key[rest], doc[rest]))]
+        k, d, p = key[rest], doc[rest], pos[rest]
+        at = starts_of({"k": k, "d": d, "p": p - np.arange(len(p))}, ["k", "d", "p"])
+        n = np.diff(np.append(at, len(rest)))
+        yield from _in_batches((np.concatenate([signed(w1[c]), (d[at] << 20) ^ p[at]]),
+                                np.concatenate([signed(w2[c] & ~low | pos[c].astype(np.uint64)), p[at]]),
+                                np.concatenate([doc[c], d[at]]), np.concatenate([key[c] << 32, k[at] << 32 | n])), ["w1", "w2p", "doc", "kn"])
 
     def run(batches):
         held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def flush():
-            w1, w2, key, doc, pos = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((pos, doc, w2, w1))
-            w1, w2, key, doc, pos = (x[order] for x in (w1, w2, key, doc, pos))
-            new = np.ones(len(w1), bool)
-            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            claim = (doc == doc[first]) & (pos == pos[first])
-            rest = np.flatnonzero(~claim)
-            rest = rest[np.lexsort((pos[rest], doc[rest], key[rest]))]
-            k, d, p = key[rest], doc[rest], pos[rest]
-            brk = np.ones(len(rest), bool)
-            brk[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)
-            at = np.flatnonzero(brk)
-            run_len = np.diff(np.append(at, len(rest)))
-            c = np.flatnonzero(claim)
-            cols = (np.concatenate([signed(w1[c]), k[at] ^ (p[at].astype(np.int64) << 40)]),
-                    np.concatenate([signed(w2[c]), np.zeros(len(at), np.int64)]), np.concatenate([key[c], k[at]]),
-                    np.concatenate([doc[c], d[at]]), np.concatenate([pos[c], p[at]]).astype(np.int32),
-                    np.concatenate([np.zeros(len(c), np.int32), run_len]).astype(np.int32))
-            for i in range(0, len(cols[0]), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[i:i + 100_000]) for x in cols], names=names)
-
         for batch in batches:
             key, doc = long_column(batch, "__key"), long_column(batch, "__doc")
             lists = batch.column(batch.schema.get_field_index("places"))
@@ -185,47 +178,43 @@ def _claims(window: int, phrase: int):
                 marked[first[own[inside]] + at[inside]] = True
                 start, anchor, _ = _windows(h, count, window, phrase)
                 start = start[marked[anchor]]
-                if not len(start):
-                    continue
                 text, pos = _local(count, start)
-                held.append((run_hashes(h, window)[start], run_hashes(h, window, _SECOND)[start], key[lo:hi][text], doc[lo:hi][text], pos))
-                size += len(start)
-                if size >= COMBINE:
-                    yield from flush()
-                    held, size = [], 0
+                held.append((run_hashes(h, window)[start], run_hashes(h, window, _SECOND)[start] & ~low, key[lo:hi][text], doc[lo:hi][text], pos))
+                yield from _combined(held, sum(len(x[0]) for x in held), COMBINE, flush)
         if held:
-            yield from flush()
+            yield from _combined(held, COMBINE, COMBINE, flush)
     return run
 
 
 def _repeats(batches):
-    """Rows sorted by (w1, w2, doc, pos): all but the first place of each window, and the runs known before."""
+    """Rows sorted by (w1, w2, doc, place): all but the first place of each window, and the runs known before."""
     before = None
+
+    def out(key, doc, pos, n):
+        cols = (key.astype(np.int32), doc, pos.astype(np.int32), n.astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "doc", "pos", "n"])
+
     for b in batches:
-        w1, w2, key, doc, pos, n = (long_column(b, c) for c in ("w1", "w2", "key", "doc", "pos", "n"))
-        if not len(w1):
-            continue
+        w1, w2p, doc, kn = (long_column(b, c) for c in ("w1", "w2p", "doc", "kn"))
+        key, n, pos, w2 = kn >> 32, kn & 0xFFFFFFFF, w2p & 0xFFFFFFFF, w2p >> 32
         run = n > 0
-        yield pa.RecordBatch.from_arrays([pa.array(x[run]) for x in (key, doc, pos, n)], names=["key", "doc", "pos", "n"])
-        c = np.flatnonzero(~run)
-        if not len(c):
+        yield out(key[run], doc[run], pos[run], n[run])
+        w1, w2, key, doc, pos = (x[~run] for x in (w1, w2, key, doc, pos))
+        if not len(w1):
             continue
-        w1, w2, key, doc, pos = (x[c] for x in (w1, w2, key, doc, pos))
-        new = np.ones(len(c), bool)
-        new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])
-        fd, fp = doc[np.flatnonzero(new)], pos[np.flatnonzero(new)]
+        new = starts_of({"a": w1, "b": w2}, ["a", "b"])
+        fd, fp = doc[new], pos[new]
         if before is not None and before[:2] == (w1[0], w2[0]):
             fd[0], fp[0] = before[2], before[3]
-        g = np.cumsum(new) - 1
+        g = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(w1))))
         before = (w1[-1], w2[-1], fd[-1], fp[-1])
         late = np.flatnonzero((doc != fd[g]) | (pos != fp[g]))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[late], doc[late], pos[late], np.ones(len(late), np.int32))],
-                                         names=["key", "doc", "pos", "n"])
+        yield out(key[late], doc[late], pos[late], np.ones(len(late), np.int64))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of `docs` under __c, with a key of the row's content; null ids order first."""
-    return docs.select(F.xxhash64(F.col(id_col).cast("long"), F.col(text_col)).alias("__key"),
+    return docs.select(F.xxhash64(F.col(text_col)).bitwiseAND((1 << 31) - 1).cast("int").alias("__key"),
                        F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__doc"),
                        F.col(text_col).alias("__text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("__c"))
 
@@ -245,16 +234,16 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _spans(keyed: DataFrame, window: int, phrase: int) -> DataFrame:
     n = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
     anchors = keyed.select("__key", "__doc", "__text").mapInArrow(
-        _anchor_rows(window, phrase), "h long, key long, doc long, pos int, state byte, deal long")
-    shared = (anchors.repartition(n, "deal").sortWithinPartitions("deal", "h")
-              .mapInArrow(_shared_anchors, "key long, doc long, pos int"))
+        _anchor_rows(window, phrase), "deal long, doc long, key long, ps long")
+    shared = (anchors.repartition(n, "deal").sortWithinPartitions("deal")
+              .mapInArrow(_shared_anchors, "key int, doc long, pos int"))
     places = shared.groupBy("key", "doc").agg(F.collect_list("pos").alias("places"))
     probe = keyed.join(places, (F.col("__key") == F.col("key")) & (F.col("__doc") == F.col("doc")))
     # all columns, so that the later join of the texts finds the same shuffle
     claims = probe.select(*keyed.columns, "places").mapInArrow(
-        _claims(window, phrase), "w1 long, w2 long, key long, doc long, pos int, n int")
-    late = (claims.repartition(n, "w1", "w2").sortWithinPartitions("w1", "w2", "doc", "pos")
-            .mapInArrow(_repeats, "key long, doc long, pos int, n int"))
+        _claims(window, phrase), "w1 long, w2p long, doc long, kn long")
+    late = (claims.repartition(n, "w1").sortWithinPartitions("w1", F.shiftright("w2p", 32), "doc", "w2p")
+            .mapInArrow(_repeats, "key int, doc long, pos int, n int"))
     return late.groupBy(F.col("key").alias("__key"), F.col("doc").alias("__doc")).agg(
         F.collect_list(F.struct("pos", "n")).alias("factors"))
 
