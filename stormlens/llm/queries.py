@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormlens.llm import ann, language, mixing, packing, simhash, substring, topk
+from stormlens.llm import ann, language, mixing, packing, simhash, substring, topk, toxicity
 from stormlens.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,14 @@ def op3(spark, sf_dir):
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op5_toxicity")
+def op5(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    held_out = bucket_of("doc_id", 5) == 0
+    model = toxicity.learn(docs, read(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
+
+
 @query("op6_source_mixing", """
 WITH s AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
   r AS (SELECT source, sum(n) OVER () * sqrt(n::DOUBLE) / sum(sqrt(n::DOUBLE)) OVER () / n AS rate FROM s),
