@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormlens.llm import ann, language, mixing, packing, simhash, substring, topk, toxicity
+from stormlens.llm import ann, extraction, language, licenses, mixing, packing, simhash, substring, topk, toxicity
 from stormlens.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op3(spark, sf_dir):
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query("op4_html_extraction")
+def op4(spark, sf_dir):
+    return extraction.extract(read(spark, sf_dir, "pages"))
+
+
 @query("op5_toxicity")
 def op5(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
@@ -100,3 +105,8 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 *
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""")
 def op9(spark, sf_dir):
     return topk.top_products(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op10_license_scan")
+def op10(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
