@@ -32,6 +32,16 @@ def _buckets(lo: Column, hi: Column, width) -> Column:
     return F.explode(F.when(hi >= lo, F.sequence(_bucket(lo, width), _bucket(hi, width))))
 
 
+def _half_widths(tlat: Column, r: Column) -> tuple[Column, Column]:
+    """Half height and width in degrees of a box that holds the circle, whichever metric is used: the
+    scales of the metrics differ, so it is padded, and it is as wide as the circle is at its poleward edge."""
+    pad = 1.01
+    half_lat = geo.box_half_lat_deg(r) * pad
+    half_lon = F.least(geo.box_half_lon_deg(F.least(F.abs(tlat) + half_lat, F.lit(90.0)), r) * pad,
+                       F.lit(180.0))
+    return half_lat, half_lon
+
+
 def radius_join(
     points: DataFrame,
     targets: DataFrame,
@@ -63,11 +73,7 @@ def radius_join(
     plat, plon = (F.col(c) for c in point_ll)
     tlat, tlon = (F.col(c) for c in target_ll)
     r = geo._c(radius)
-    # the planar metric uses slightly different scales, so its box is padded
-    pad = 1.01
-    half_lat = geo.box_half_lat_deg(r) * pad
-    half_lon = F.least(geo.box_half_lon_deg(F.least(F.abs(tlat) + half_lat, F.lit(90.0)), r) * pad,
-                       F.lit(180.0))
+    half_lat, half_lon = _half_widths(tlat, r)
     p = points.withColumn("__ci", _bucket(plat, size)).withColumn(
         "__cj", F.pmod(_bucket(plon, size), F.lit(n_cells)))
     j_lo = _bucket(tlon - half_lon, size)
@@ -94,18 +100,19 @@ def box_gate(points: DataFrame, targets: DataFrame, radius, *,
              target_ll: tuple[str, str] = ("t_lat", "t_lon")) -> DataFrame:
     """Keep points inside the padded bounding box of all targets (a candidate filter).
 
-    The bounds are one row of four numbers, read as scalar subqueries, so the comparison
-    can reach the file scan.
+    The box is the one radius_join uses and its longitudes wrap, so gate and join give what the
+    join gives. The bounds are one row of four numbers, read as scalar subqueries, so the
+    comparison can reach the file scan.
     """
     tlat, tlon = (F.col(c) for c in target_ll)
-    hl, ho = geo.box_half_lat_deg(geo._c(radius)), geo.box_half_lon_deg(tlat, geo._c(radius))
+    hl, ho = _half_widths(tlat, geo._c(radius))
     box = targets.agg(
         F.min(tlat - hl).alias("a"), F.max(tlat + hl).alias("b"),
         F.min(tlon - ho).alias("c"), F.max(tlon + ho).alias("d"))
     lat, lon = (F.col(c) for c in point_ll)
+    turns = [(lon >= box.select(F.col("c") + t).scalar()) & (lon <= box.select(F.col("d") + t).scalar()) for t in (-360.0, 0.0, 360.0)]
     return points.where(
-        (lat >= box.select("a").scalar()) & (lat <= box.select("b").scalar())
-        & (lon >= box.select("c").scalar()) & (lon <= box.select("d").scalar()))
+        (lat >= box.select("a").scalar()) & (lat <= box.select("b").scalar()) & (turns[0] | turns[1] | turns[2]))
 
 
 def interval_join(

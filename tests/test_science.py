@@ -1,11 +1,13 @@
 """Scores, gates, localisation, detection, evaluation and review on hand-made inputs."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stormlens.functions import geo, risk, text, timecols
-from stormlens.operators import evaluate, localize, ml, redact, review, signal
+from stormlens.operators import arrivals, combos, evaluate, localize, ml, redact, review, signal
 from stormlens.operators.areas import nearest_area, point_in_area
 from stormlens.operators.graph import components
 from stormlens.operators.patrol import watch_sectors
@@ -74,12 +76,35 @@ def test_solver_and_geometry_gate(spark):
     assert abs(got[0].x - 4000) < 1 and abs(abs(got[0].y) - 3000) < 1
 
 
-def test_combos_in_product_order(spark):
-    df = spark.createDataFrame([(1, [("a", [1.0, 2.0]), ("b", [5.0]), ("c", [7.0, 8.0, 9.0])])],
-                               "id int, cands array<struct<vsn:string,ranges:array<double>>>")
-    got = [tuple(r.picked) for r in localize.candidate_combos(df).orderBy("combo").collect()]
-    assert got == [(x, 5.0, z) for x in (1.0, 2.0) for z in (7.0, 8.0, 9.0)]
-    assert localize.candidate_combos(df, limit=4).count() == 4
+def test_combination_search_equals_the_whole_product():
+    rng = np.random.default_rng(3)
+    for trial in range(25):
+        n = int(rng.integers(2, 5))
+        x, y = rng.uniform(-15e3, 15e3, (2, n))
+        p = rng.uniform(-10e3, 10e3, 2)
+        ranges = [rng.uniform(500, 25e3, int(rng.integers(1, 7))) for _ in range(n)]
+        if trial % 2:
+            for i in range(n):
+                ranges[i][rng.integers(len(ranges[i]))] = np.hypot(x[i] - p[0], y[i] - p[1]) + rng.normal(0, 20)
+        every = np.array(list(itertools.product(*map(range, map(len, ranges)))))
+        cost = localize.least_residual(np.broadcast_to(np.stack([x, y], 1), (len(every), n, 2)),
+                                       np.stack([ranges[i][every[:, i]] for i in range(n)], 1))
+        got = combos.Search(x, y, ranges, localize.least_residual).best()
+        assert cost[(every == got).all(1)][0] <= cost.min() * (1 + 1e-5) + 1e-3
+
+
+def test_decoys_do_not_displace_a_strike(spark):
+    nodes = {"A": (35.0, -119.0), "B": (35.1, -119.0), "C": (35.0, -118.9)}
+    ev = [("flash", "A", 100.0, None)]
+    for v, (la, lo) in nodes.items():
+        # the plane of the solver has its origin between the nodes
+        r = np.hypot((-119.17 - lo) * 111320 * np.cos(np.radians(np.mean([n[0] for n in nodes.values()]))), (35.15 - la) * 110540)
+        ev.append(("thunder", v, float(100.0 + r / 343.0), None))
+        ev += [("thunder", v, 105.0 + 0.9 * k, None) for k in range(20)]
+    got = localize.fuse_strikes(spark.createDataFrame(ev, "type string, vsn string, time_epoch double, implied_range_km double"),
+                                spark.createDataFrame([(v, *p) for v, p in nodes.items()], "vsn string, lat double, lon double")).collect()
+    assert len(got) == 1 and got[0].rms_m < 5
+    assert abs(got[0].lat - 35.15) < 0.005 and abs(got[0].lon + 119.17) < 0.005 and got[0].quality == "fix"
 
 
 def storm(nodes, strikes):
@@ -117,7 +142,7 @@ def test_tdoa(spark):
     toa = np.hypot(*(a - src).T) / 343.0 + 12.0
     df = spark.createDataFrame([(1, [tuple(map(float, (*p, t))) for p, t in zip(a, toa)])],
                                "id int, receivers array<struct<x:double,y:double,toa:double>>")
-    r = localize.tdoa_grid(df, ["id"]).first()
+    r = arrivals.arrival_positions(df, ["id"]).first()
     assert abs(r.x - src[0]) <= 100 and abs(r.y - src[1]) <= 100
 
 

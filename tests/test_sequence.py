@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from stormlens.operators import quantiles as Q, sequence as S
 from stormlens.operators.blocks import row_numbers, running_last, with_block
-from stormlens.operators.joins import asof_backward, interval_join, radius_join
+from stormlens.operators.joins import asof_backward, box_gate, interval_join, radius_join
 
 
 def greedy(t, width, strict=False):
@@ -199,3 +199,13 @@ def test_calm_neighbour(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate(sp)], "t bigint, s boolean")
     got = {r.t: r.b for r in S.calm_neighbour(df, [], "t", "s", block=2, out="b").collect()}
     assert [got[i] for i, s in enumerate(sp) if s] == [0, 3, 3, 3, None]
+
+
+@pytest.mark.parametrize("t_lat, t_lon, p_lat, p_lon, radius", [
+    (10.0, 179.95, 10.0, -179.95, 30.0), (10.0, -179.95, 10.0, 179.95, 30.0), (40.0, -120.0, 40.0, -120.0 + 29.99 / (111.1949 * 0.766044443), 30.0),
+    (70.0, 20.0, 70.05, 20.0 + 29.0 / (111.1949 * 0.34), 30.0), (89.9, 0.0, 89.9, 180.0, 30.0)])
+def test_gate_and_join_give_what_the_join_gives(spark, t_lat, t_lon, p_lat, p_lon, radius):
+    points = spark.createDataFrame([(p_lat, p_lon), (0.0, 0.0)], "lat double, lon double")
+    targets = spark.createDataFrame([(t_lat, t_lon)], "t_lat double, t_lon double")
+    want = radius_join(points, targets, radius).count()
+    assert want == 1 and radius_join(box_gate(points, targets, radius), targets, radius).count() == want

@@ -143,13 +143,13 @@ def scan_completeness(spark, sf):
 
 @query("scan_hits", f"""
 WITH {NODES}, {FIRES}, {FLASHES},
-tg AS (SELECT 'fire' AS kind, fire_id AS ref, f_lat AS a, f_lon AS b FROM fires WHERE size_acres > 450000
+tg AS (SELECT 'fire' AS kind, fire_id AS ref, f_lat AS a, f_lon AS b FROM fires
   UNION ALL SELECT 'node', vsn, n_lat, n_lon FROM nodes)
 SELECT kind, sat, count(*) AS n, round(sum(d), 3) AS sum_km FROM (SELECT kind, sat, {hav('a', 'b', 'lat', 'lon')} AS d
   FROM tg JOIN flashes ON lat BETWEEN a - 0.1 AND a + 0.1) WHERE d <= 6.0 GROUP BY 1, 2
 """)
 def scan_hits(spark, sf):
-    f = fires(spark, sf).where("size_acres > 450000").select("fire_id", F.col("f_lat").alias("lat"), F.col("f_lon").alias("lon"))
+    f = fires(spark, sf).select("fire_id", F.col("f_lat").alias("lat"), F.col("f_lon").alias("lon"))
     n = nodes(spark, sf).select("vsn", F.col("n_lat").alias("lat"), F.col("n_lon").alias("lon"))
     targets = scan.scan_targets(f, n, 6.0)
     hits = scan.scan_flashes(flashes(spark, sf, good=False), targets, cell_km=6.0)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from stormlens.functions import geo
 from stormlens.operators import evaluate, localize, ml, signal
+from stormlens.operators.arrivals import arrival_positions
 from stormlens.operators.areas import nearest_k
 from workload.base import EVENTS, FIRES, NODES, events, fires, hav, nodes, query, r6, table
 
@@ -241,7 +242,7 @@ def tdoa_grid(spark, sf):
     ev = n.groupBy("fire_id").agg(
         F.max("fx").alias("fx"), F.max("fy").alias("fy"),
         F.array_sort(F.collect_list(F.struct("rk", "x", "y", (F.col("r") / 343.0).alias("toa")))).alias("receivers"))
-    sol = localize.tdoa_grid(ev.where(F.size("receivers") >= 3), ["fire_id", "fx", "fy"])
+    sol = arrival_positions(ev.where(F.size("receivers") >= 3), ["fire_id", "fx", "fy"])
     err = F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy"))
     return sol.select("fire_id", (err < 150.0).alias("within_cell"))
 

@@ -82,15 +82,14 @@ def radius_join_own_radius(spark, sf):
 
 
 @query("bbox_gate", f"""
-WITH {NODES}, {FLASHES}, sel AS (SELECT * FROM nodes WHERE nation < 3)
-SELECT sat, count(*) AS n, round(min(energy), 4) AS min_energy FROM flashes
-WHERE lat >= (SELECT min(n_lat - 20/110.574) FROM sel) AND lat <= (SELECT max(n_lat + 20/110.574) FROM sel)
- AND lon >= (SELECT min(n_lon - 20/(111.320*cos(radians(n_lat)))) FROM sel)
- AND lon <= (SELECT max(n_lon + 20/(111.320*cos(radians(n_lat)))) FROM sel) GROUP BY 1
+WITH {NODES}, {FLASHES}, sel AS (SELECT n_lat, n_lon, 20/110.574*1.01 AS h FROM nodes),
+box AS (SELECT min(n_lat - h) AS a, max(n_lat + h) AS b, min(n_lon - w) AS c, max(n_lon + w) AS d FROM
+  (SELECT *, 20/(111.320*cos(radians(abs(n_lat) + h)))*1.01 AS w FROM sel))
+SELECT sat, count(*) AS n, round(min(energy), 4) AS min_energy FROM flashes, box
+WHERE lat BETWEEN a AND b AND lon BETWEEN c AND d GROUP BY 1
 """)
 def bbox_gate(spark, sf):
-    sel = nodes(spark, sf).where("nation < 3")
-    x = box_gate(flashes(spark, sf), sel, 20.0, target_ll=("n_lat", "n_lon"))
+    x = box_gate(flashes(spark, sf), nodes(spark, sf), 20.0, target_ll=("n_lat", "n_lon"))
     return x.groupBy("sat").agg(F.count(F.lit(1)).alias("n"),
                                 F.round(F.min("energy"), 4).alias("min_energy"))
 
