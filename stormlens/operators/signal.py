@@ -39,46 +39,50 @@ def mono(channels) -> Column:
     return F.transform(total, lambda x: x / n)
 
 
+def _hops(y, hop: int) -> np.ndarray:
+    """RMS of each full hop of one clip; empty if there is none."""
+    if y is None:
+        return np.zeros(0)
+    y = np.asarray(y, float)
+    n = len(y) // hop
+    return np.sqrt((y[:n * hop].reshape(n, hop) ** 2).mean(axis=1)) if n else np.zeros(0)
+
+
+def _per_clip(fn, kind: str, samples) -> Column:
+    """`fn` of each clip, batch by batch: an array is read once however long it is."""
+    def run(clips: pd.Series) -> pd.Series:
+        return pd.Series([fn(y) for y in clips], dtype=object)
+    return F.pandas_udf(run, kind)(_c(samples))
+
+
 def hop_rms(samples, hop: int) -> Column:
-    """RMS of each full hop."""
-    s = _c(samples)
-    n = F.floor(F.size(s) / hop).cast("int")
-    sq = F.transform(s, lambda x: x.cast("double") * x.cast("double"))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.sqrt(
-        F.aggregate(F.slice(sq, i * hop + 1, F.lit(hop)), F.lit(0.0), lambda a, x: a + x) / hop)))
+    """RMS of each full hop; null for a clip shorter than one."""
+    return _per_clip(lambda y: r if len(r := _hops(y, hop)) else None, "array<double>", samples)
 
 
 def envelope_db(samples, hop: int) -> Column:
     """dB level per hop; a clip shorter than one hop gives a single -120."""
-    return F.coalesce(
-        F.transform(hop_rms(samples, hop), lambda r: F.lit(20.0) * F.log10(r + EPS)),
-        F.array(F.lit(-120.0)))
+    return _per_clip(lambda y: 20.0 * np.log10(r + EPS) if len(r := _hops(y, hop)) else np.array([-120.0]), "array<double>", samples)
 
 
-def array_quantile(arr, q: float) -> Column:
-    """Linear-interpolation quantile of a bounded array."""
-    s = F.array_sort(_c(arr))
-    pos = F.lit(q) * (F.size(s) - 1)
-    lo = F.floor(pos).cast("int")
-    hi = F.least(lo + 1, F.size(s) - 1)
-    return F.get(s, lo) + (F.get(s, hi) - F.get(s, lo)) * (pos - lo)
+def leading_edge(d, k_db: float = 8.0, sustain: int = 4) -> int | None:
+    """First hop from which `sustain` hops in a row exceed the 20th percentile by k_db, walked back
+    while 3 dB above it. The last start looked at is one short of the last possible."""
+    if d is None or len(d) < sustain + 2:
+        return None
+    d = np.asarray(d, float)
+    floor = np.quantile(d, 0.2)
+    loud = np.concatenate([[0], np.cumsum(d > floor + k_db)])
+    starts = np.flatnonzero(loud[sustain:-1] - loud[:-1 - sustain] == sustain)
+    if not len(starts):
+        return None
+    quiet = np.flatnonzero(~(d[:starts[0]] > floor + 3.0))
+    return int(quiet[-1]) + 1 if len(quiet) else 0
 
 
 def onset_hop(db, k_db: float = 8.0, sustain: int = 4) -> Column:
-    """Hop index of the leading edge, or null.
-
-    First hop where `sustain` hops in a row exceed the 20th percentile by k_db (the last
-    start index is one short of the last possible), walked back while 3 dB above it.
-    """
-    d = _c(db)
-    floor = array_quantile(d, 0.2)
-    starts = F.sequence(F.lit(0), F.size(d) - sustain - 1)
-    hit = F.get(F.filter(starts, lambda i: F.forall(
-        F.slice(d, i + 1, F.lit(sustain)), lambda x: x > floor + k_db)), F.lit(0))
-    quiet = F.array_max(F.filter(F.sequence(F.lit(0), hit),
-                                 lambda j: (j < hit) & ~(F.get(d, j) > floor + 3.0)))
-    walked = F.coalesce(quiet + 1, F.lit(0))
-    return F.when((F.size(d) >= sustain + 2) & hit.isNotNull(), walked)
+    """Hop index of the leading edge, or null; see `leading_edge`."""
+    return _per_clip(lambda d: leading_edge(d, k_db, sustain), "int", db)
 
 
 def onset_time(db, hop_s: float, **kw) -> Column:
@@ -87,9 +91,10 @@ def onset_time(db, hop_s: float, **kw) -> Column:
 
 def peak_over_median(samples, window: int, min_windows: int = 4) -> Column:
     """Loudest window over the median window (RMS); 0 for clips with too few windows."""
-    e = F.coalesce(hop_rms(samples, window), F.array().cast("array<double>"))
-    return F.when(F.size(e) < min_windows, 0.0).otherwise(
-        F.array_max(e) / (array_quantile(e, 0.5) + 1e-9))
+    def ratio(y):
+        e = _hops(y, window)
+        return 0.0 if len(e) < min_windows else float(e.max() / (np.median(e) + 1e-9))
+    return _per_clip(ratio, "double", samples)
 
 
 # ---------------------------------------------------------------- spectra

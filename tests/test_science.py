@@ -1,6 +1,7 @@
 """Scores, gates, localisation, detection, evaluation and review on hand-made inputs."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -182,6 +183,18 @@ def test_onset(spark):
         assert one(df, signal.onset_hop("d")) == i
 
 
+def test_envelopes_take_time_in_proportion():
+    """Twice the samples take about twice the time, and a long clip takes well under a second a step."""
+    rng = np.random.default_rng(0)
+    took = []
+    for n in (700_000, 1_400_000):
+        y, start = rng.normal(size=n), time.perf_counter()
+        for _ in range(5):
+            signal.leading_edge(20 * np.log10(signal._hops(y, 480) + 1e-12))
+        took.append(time.perf_counter() - start)
+    assert took[1] < 4 * took[0] + 0.05 and took[1] < 5
+
+
 def test_probe_separates(spark):
     rng = np.random.default_rng(3)
     rows = [(i, (rng.normal(0, 1, 8) + (2 if i % 3 == 0 else 0)).tolist(), int(i % 3 == 0)) for i in range(120)]

@@ -22,18 +22,19 @@ def _named(spark, sf, name):
 # ------------------------------------------------------------------ pairing
 
 @query("flash_thunder_pairs", f"""
-WITH {EVENTS}, st AS (SELECT DISTINCT t AS st FROM ev WHERE name = 'view' AND value > 60),
-p AS (SELECT st, vsn, round(coalesce(CASE WHEN k > 90 THEN k::DOUBLE END, (t - st) / {HOUR}.0::DOUBLE * 343.0 / 1000.0), 3) AS km
- FROM ev JOIN st ON t - st BETWEEN 0.9 * {HOUR} AND 12.0 * {HOUR} WHERE name = 'purchase')
-SELECT st, vsn, count(DISTINCT km) AS n_ranges, min(km) AS nearest_km, max(km) AS farthest_km FROM p GROUP BY 1, 2
+WITH {EVENTS}, st AS (SELECT DISTINCT vsn % 50 AS region, t AS st FROM ev WHERE name = 'view'),
+p AS (SELECT region, st, vsn, round(coalesce(CASE WHEN k > 90 THEN k::DOUBLE END, (t - st) / {HOUR}.0::DOUBLE * 343.0 / 1000.0), 3) AS km
+ FROM ev JOIN st ON region = vsn % 50 AND t - st BETWEEN 0.9 * {HOUR} AND 12.0 * {HOUR} WHERE name = 'purchase')
+SELECT region, st, vsn, count(DISTINCT km) AS n_ranges, min(km) AS nearest_km, max(km) AS farthest_km FROM p GROUP BY 1, 2, 3
 """)
 def flash_thunder_pairs(spark, sf):
-    e = events(spark, sf)
-    strikes = e.where("name = 'view' AND value > 60").select(F.col("t").alias("st")).distinct()
+    # thunder beyond its region is never heard, so the region is part of the key
+    e = events(spark, sf).withColumn("region", F.col("vsn") % 50)
+    strikes = e.where("name = 'view'").select("region", F.col("t").alias("st")).distinct()
     thunder = e.where("name = 'purchase'").select(
-        "vsn", "t", F.when(F.col("k") > 90, F.col("k").cast("double")).alias("implied_range_km"))
-    x = pairing.flash_thunder_candidates(strikes, thunder, "st", per_second=HOUR, hi_s=12.0)
-    return x.select("st", "vsn", F.size("ranges").cast("bigint").alias("n_ranges"),
+        "region", "vsn", "t", F.when(F.col("k") > 90, F.col("k").cast("double")).alias("implied_range_km"))
+    x = pairing.flash_thunder_candidates(strikes, thunder, "st", on=["region"], per_second=HOUR, hi_s=12.0)
+    return x.select("region", "st", "vsn", F.size("ranges").cast("bigint").alias("n_ranges"),
                     F.element_at("ranges", 1).alias("nearest_km"), F.element_at("ranges", -1).alias("farthest_km"))
 
 
@@ -356,22 +357,20 @@ def latest_record(spark, sf):
 
 
 @query("task_universe", f"""
-WITH {UPLOADS} SELECT DISTINCT task FROM up WHERE day(make_timestamp(t)) = 15 AND month(make_timestamp(t)) IN (2, 6, 7, 11)
+WITH {UPLOADS} SELECT DISTINCT task FROM up
 """)
 def task_universe(spark, sf):
-    ts = F.timestamp_micros("t")
-    return cov_plan.task_universe(uploads(spark, sf), (F.dayofmonth(ts) == 15) & F.month(ts).isin(2, 6, 7, 11))
+    return cov_plan.task_universe(uploads(spark, sf), F.lit(True))
 
 
 @query("node_only_tasks", f"""
-WITH {UPLOADS}, u AS (SELECT DISTINCT task FROM up WHERE t = 789004800000000)
-SELECT DISTINCT vsn, task FROM up WHERE month(make_timestamp(t)) = 7 AND day(make_timestamp(t)) BETWEEN 10 AND 16 AND task NOT IN (SELECT task FROM u)
+WITH {UPLOADS}, v AS (SELECT vsn, task || '-' || (vsn % 7) AS task FROM up), u AS (SELECT DISTINCT task FROM v WHERE vsn % 7 < 5)
+SELECT DISTINCT vsn, task FROM v WHERE task NOT IN (SELECT task FROM u)
 """)
 def node_only_tasks(spark, sf):
-    ts = F.timestamp_micros("t")
-    up = uploads(spark, sf)
-    u = cov_plan.task_universe(up, F.col("t") == 789004800000000)
-    x = cov_plan.node_only_tasks(up, (F.month(ts) == 7) & F.dayofmonth(ts).between(10, 16), u)
+    """Tasks carry the model of their node; the fleet list knows five of seven models."""
+    up = uploads(spark, sf).withColumn("task", F.concat("task", F.lit("-"), F.col("vsn") % 7))
+    x = cov_plan.node_only_tasks(up, F.lit(True), cov_plan.task_universe(up, F.col("vsn") % 7 < 5))
     return x.select("vsn", "task")
 
 
@@ -399,14 +398,14 @@ def resume_units(spark, sf):
 
 
 @query("failed_units", f"""
-WITH {EVENTS}, l AS (SELECT 'WARN fetch failed unit=' || vsn || '/' || name || '/' || strftime(make_timestamp(t), '%Y-%m') || ' after retries' AS line FROM ev WHERE value > 50),
+WITH {EVENTS}, l AS (SELECT 'WARN fetch failed unit=' || vsn || '/' || name || '/' || strftime(make_timestamp(t), '%Y-%m') || ' after retries' AS line FROM ev),
 p AS (SELECT regexp_extract(line, 'unit=([0-9]+)/([a-z]+)/([0-9-]+)', 1) AS vsn, regexp_extract(line, 'unit=([0-9]+)/([a-z]+)/([0-9-]+)', 2) AS task,
   regexp_extract(line, 'unit=([0-9]+)/([a-z]+)/([0-9-]+)', 3) AS month FROM l)
 SELECT DISTINCT vsn, task, month FROM p EXCEPT SELECT CAST(vsn AS VARCHAR), name, strftime(make_timestamp(t), '%Y-%m') FROM ev WHERE k < 5
 """)
 def q_failed_units(spark, sf):
     e = events(spark, sf).withColumn("m", F.date_format(F.timestamp_micros("t"), "yyyy-MM"))
-    lines = e.where("value > 50").select(F.concat(F.lit("WARN fetch failed unit="), "vsn", F.lit("/"), "name",
+    lines = e.select(F.concat(F.lit("WARN fetch failed unit="), "vsn", F.lit("/"), "name",
                                                   F.lit("/"), "m", F.lit(" after retries")).alias("value"))
     done = e.where("k < 5").select(F.col("vsn").cast("string").alias("vsn"), F.col("name").alias("task"), F.col("m").alias("month"))
     return failed_units(lines, r"unit=([0-9]+)/([a-z]+)/([0-9-]+)", ["vsn", "task", "month"], done)
