@@ -97,3 +97,8 @@ def dry_candidates(storms: DataFrame, rain: DataFrame, fires: DataFrame, nodes:
     out = s.join(best, key)
     return out.select("*", F.col("f.fire_id").alias("fire_id"), F.col("f.fire_dist_km").alias("fire_dist_km"),
                       ((F.col("f.discovery") - F.col("last_flash")) / HOUR_US).alias("lag_h")).drop("f")
+
+
+def top_dry(candidates: DataFrame, n: int = 25) -> DataFrame:
+    """The n candidates with the most flashes; of equal ones the first node and day."""
+    return candidates.orderBy(F.desc("n_flashes"), "vsn", "day").limit(n)

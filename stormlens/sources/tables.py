@@ -38,8 +38,9 @@ def write_shards(df: DataFrame, path: str, keys: list[str]) -> None:
      .partitionBy(*keys).parquet(path))
 
 
-def mark_done(units: DataFrame, path: str) -> None:
-    units.write.mode("append").parquet(path)
+def mark_done(units: DataFrame, path: str, keys: list[str] | None = None) -> None:
+    """Note finished units. Each has a folder of its own, replaced when the unit is run again."""
+    write_shards(units.withColumn("done", F.lit(True)), path, keys or units.columns)
 
 
 def upload_listing(telemetry: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def test_catalog_end_to_end(spark, tmp_path):
         spark, str(tmp_path), nodes=n, fires=base.fires(spark, DATA), flashes=base.flashes(spark, DATA, good=False),
         uploads=base.uploads(spark, DATA), rain=base.rain(spark, DATA), min_storm_flashes=2, dry_mm=100.0)
     rows = {k: spark.read.parquet(p).count() for k, p in paths.items()}
-    assert len(rows) == 13 and all(rows.values()), rows
+    assert len(rows) == 14 and all(rows.values()), rows
     best = spark.read.parquet(paths["study_candidates"]).orderBy(F.desc("study_score")).first()
     assert 0 < best.study_score <= 1 and best.n_flashes > 0
 
