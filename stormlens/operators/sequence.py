@@ -89,13 +89,71 @@ def _starts(t: np.ndarray, carried, width, strict: bool) -> np.ndarray:
     return out
 
 
+#: Blocks whose maps are composed in one row.
+FAN_IN = 16
+
+
+def _entering(blocks: DataFrame, by: list[str], tname: str, width, strict: bool) -> DataFrame:
+    """(by, BLOCK, __in): the last start before each block, by composing block maps in a tree.
+
+    blocks: by, BLOCK, entries, exits: a start `last` before the block leads to the exit of the
+    first entry beyond last + width, to itself if there is none. Going up, the maps of FAN_IN
+    neighbours become one; going down, each node hands its children what enters them. A start
+    before some blocks never reaches beyond the first of them, so a composed map needs the
+    entries of its first block and one more; entries that lead to the same exit are one.
+    """
+    def lead(last, m):
+        limit = last + F.lit(width)
+        free = F.filter(F.arrays_zip(m["entries"].alias("e"), m["exits"].alias("x")),
+                        lambda z: last.isNull() | ((z["e"] >= limit) if strict else (z["e"] > limit)))
+        return F.coalesce(F.get(free, F.lit(0))["x"], last)
+
+    def distinct_exits(m):
+        keep = F.filter(F.sequence(F.lit(0), F.size(m["exits"]) - 1),
+                        lambda i: F.coalesce(F.get(m["exits"], i + 1) != F.get(m["exits"], i), F.lit(True)))
+        return F.struct(F.transform(keep, lambda i: F.get(m["entries"], i)).alias("entries"),
+                        F.transform(keep, lambda i: F.get(m["exits"], i)).alias("exits"))
+
+    def compose(f, g):
+        ends = F.transform(f["exits"], lambda x: lead(x, g))
+        return distinct_exits(F.struct(F.concat(f["entries"], F.slice(g["entries"], 1, F.lit(1))).alias("entries"),
+                                       F.concat(ends, F.slice(g["exits"], 1, F.lit(1))).alias("exits")))
+
+    lo, hi = blocks.agg(F.min(BLOCK), F.max(BLOCK)).first()
+    node = blocks.select(*by, (F.col(BLOCK) - F.lit(lo or 0)).alias("at"),
+                         distinct_exits(F.struct("entries", "exits")).alias("m"))
+    levels = []
+    top = (hi or 0) - (lo or 0)
+    while True:
+        family = cut(node.groupBy(*by, F.floor(F.col("at") / FAN_IN).alias("parent")).agg(
+            F.array_sort(F.collect_list(F.struct("at", "m"))).alias("c")))
+        levels.append(family)
+        top //= FAN_IN
+        if top <= 0:
+            break
+        whole = F.aggregate(F.slice("c", 2, F.lit(FAN_IN)), F.col("c")[0]["m"], lambda f, g: compose(f, g["m"]))
+        node = family.select(*by, F.col("parent").alias("at"), whole.alias("m"))
+
+    def step(acc, c):
+        done = F.concat(acc["done"], F.array(F.struct(c["at"].alias("at"), acc["last"].alias("s"))))
+        return F.struct(lead(acc["last"], c["m"]).alias("last"), done.alias("done"))
+
+    state = None
+    for family in reversed(levels):
+        x = family.withColumn("s", F.lit(None).cast(tname)) if state is None else family.join(state, [*by, "parent"])
+        zero = F.struct(F.col("s").alias("last"), F.array().cast(f"array<struct<at:bigint,s:{tname}>>").alias("done"))
+        state = x.select(*by, F.explode(F.aggregate("c", zero, step)["done"]).alias("d")).select(
+            *by, F.col("d.at").alias("parent"), F.col("d.s").alias("s"))
+    return state.select(*by, (F.col("parent") + F.lit(lo or 0)).alias(BLOCK), F.col("s").alias("__in"))
+
+
 def greedy_groups(df: DataFrame, by: list[str], time: str, width, *, block, strict: bool = False,
                   out: str = "group_start") -> DataFrame:
     """Greedy grouping against the group's first time (not the previous event).
 
     An event joins while time - group start <= width (< width if `strict`). The rule is
     sequential, so each (key, block) is summarised as a map from "last start before me" to
-    "last start in me"; the maps are composed per key over blocks, then every block is
+    "last start in me"; the maps are composed in a tree over blocks, then every block is
     assigned on its own. `time` must be an integer or double column, `block` > width.
     """
     if block <= width:
@@ -117,29 +175,7 @@ def greedy_groups(df: DataFrame, by: list[str], time: str, width, *, block, stri
         *keys, T.StructField(BLOCK, T.LongType()), T.StructField("entries", T.ArrayType(ttype)),
         T.StructField("exits", T.ArrayType(ttype)), T.StructField("t_last", ttype)]))
 
-    none = F.lit(None).cast(tname)
-    # blocks farther apart than the width do not influence each other: fold per linked run
-    seq = key_window(by).orderBy(BLOCK)
-    linked = F.col("entries")[0] - F.lag("t_last").over(seq) <= width
-    runs = blocks.withColumn("__run", F.sum(F.when(linked, 0).otherwise(1)).over(
-        seq.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def step(acc, b):
-        limit = acc["last"] + F.lit(width)
-        free = F.filter(
-            F.arrays_zip(b["entries"].alias("e"), b["exits"].alias("x")),
-            lambda z: acc["last"].isNull() | ((z["e"] >= limit) if strict else (z["e"] > limit)))
-        done = F.concat(acc["done"], F.array(F.struct(b[BLOCK].alias("b"), acc["last"].alias("i"))))
-        return F.struct(F.coalesce(F.get(free, F.lit(0))["x"], acc["last"]).alias("last"),
-                        done.alias("done"))
-
-    zero = F.struct(none.alias("last"),
-                    F.array().cast(f"array<struct<b:bigint,i:{tname}>>").alias("done"))
-    entering = (
-        runs.groupBy(*by, "__run")
-        .agg(F.array_sort(F.collect_list(F.struct(BLOCK, "entries", "exits"))).alias("bs"))
-        .select(*by, F.explode(F.aggregate("bs", zero, step)["done"]).alias("d"))
-        .select(*by, F.col("d.b").alias(BLOCK), F.col("d.i").alias("__in")))
+    entering = _entering(cut(blocks), by, tname, width, strict)
 
     def assign(pdf, cuts):
         carried = pdf["__in"].to_numpy()[np.r_[0, cuts]]

@@ -209,3 +209,20 @@ def test_gate_and_join_give_what_the_join_gives(spark, t_lat, t_lon, p_lat, p_lo
     targets = spark.createDataFrame([(t_lat, t_lon)], "t_lat double, t_lon double")
     want = radius_join(points, targets, radius).count()
     assert want == 1 and radius_join(box_gate(points, targets, radius), targets, radius).count() == want
+
+
+@pytest.mark.parametrize("strict", [False, True])
+def test_one_unbroken_run_over_many_blocks(spark, strict):
+    """Events closer than the width for hundreds of blocks, so every block depends on the one before."""
+    rng = np.random.default_rng(5)
+    t = np.sort(rng.integers(0, 40_000, 6_000)).tolist()
+    df = spark.createDataFrame([("a" if i % 2 else "b", x) for i, x in enumerate(t)], "k string, t bigint")
+    want = []
+    for k in "ab":
+        start = None
+        for x in (x for i, x in enumerate(t) if ("a" if i % 2 else "b") == k):
+            if start is None or x - start > 37 or strict and x - start == 37:
+                start = x
+            want.append((k, x, start))
+    got = S.greedy_groups(df, ["k"], "t", 37, block=40, strict=strict)
+    assert sorted((r.k, r.t, r.group_start) for r in got.collect()) == sorted(want)
