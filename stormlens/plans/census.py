@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stormlens.functions.timecols import HOUR_US, day_no, hour_no
-from stormlens.operators.quantiles import exact_quantile
 from stormlens.plans.coverage import month_of_day
 from stormlens.plans.scan import best_satellite
-from stormlens.session import cut
 
 # Flashes that make a storm day, seconds per audio clip.
 STORM_MIN_FLASHES = 5
@@ -28,16 +26,13 @@ def storm_days(hits: DataFrame, deployment: DataFrame | None = None, *, season:
     h = h.where(month.between(*season))
     if deployment is not None:
         h = h.join(deployment.select("vsn", "first_day"), "vsn").where(F.col("day") >= F.col("first_day"))
-    h = h.select("vsn", "day", "t", "dist_km", "sat")
-    if with_median:
-        h = cut(h)
+    # a node's day holds few enough distances to rank them where they are counted
+    median = [F.percentile("dist_km", 0.5).alias("median_km")] if with_median else []
     out = h.groupBy("vsn", "day").agg(
         F.count(F.lit(1)).alias("n_flashes"), F.min("dist_km").alias("nearest_km"),
         F.min("t").alias("first_flash"), F.max("t").alias("last_flash"),
         F.min(F.struct("t", "sat"))["sat"].alias("sat"),
-        F.countDistinct(hour_no("t")).alias("active_hours"))
-    if with_median:
-        out = out.join(exact_quantile(h, ["vsn", "day"], "dist_km", 0.5, "median_km"), ["vsn", "day"])
+        F.size(F.collect_set(hour_no("t"))).cast("bigint").alias("active_hours"), *median)
     return out.withColumn("storm_hours", (F.col("last_flash") - F.col("first_flash")) / HOUR_US)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +28,21 @@ def build_session(app: str = "stormlens", master: str | None = None, **conf) ->
     }
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    if not spark.sparkContext.master.startswith("local"):
+        ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, whose Python workers import it by name."""
+    if getattr(spark, "_stormlens_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.sparkContext.addPyFile(shutil.make_archive(
+        os.path.join(folder, "stormlens"), "zip", os.path.dirname(package), os.path.basename(package)))
+    spark._stormlens_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
