@@ -71,6 +71,8 @@ def chunks(batch: pa.RecordBatch, name: str, limit: int = CHUNK_BYTES) -> Iterat
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, side="right")) - 1)
         yield lo, hi, data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
         lo = hi
+    # what Arrow freed goes back to the system before the next batch
+    pa.default_memory_pool().release_unused()
 
 
 def word_spans(buf: np.ndarray, off: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -8,6 +8,7 @@ pieces find their place by their rank among those of equal length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -24,10 +25,12 @@ CAPACITY, END_ID = 4096, 1
 #: Rounds of multiplicative weights, and how strongly over-covered lengths lose value.
 PHASES, LEARNING = 8, 0.5
 #: Words whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
+#: Words encoded at once.
+_AT_ONCE = 8192
 #: Pieces ranked within one group.
 RANK_GROUP = 200_000
-_CHUNK = 2 << 20
+_CHUNK = 1 << 20
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -46,6 +49,8 @@ class WordIds:
     trailing punctuation gives the same ids for the parts as for the whole."""
 
     def __init__(self, path: str):
+        # Spark's tasks are the parallel unit; threads of their own would only hold memory
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
@@ -95,14 +100,17 @@ class WordIds:
                 self._forget()
                 new = np.arange(len(u))
             raw = low.tobytes()
-            words = [raw[a:b].decode(errors="replace") for a, b in zip(s[one[new]].tolist(), e[one[new]].tolist())]
-            got = [x.ids for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
+            spans = list(zip(s[one[new]].tolist(), e[one[new]].tolist()))
+            got = []
+            for k in range(0, len(spans), _AT_ONCE):
+                words = [raw[a:b].decode(errors="replace") for a, b in spans[k:k + _AT_ONCE]]
+                got += [np.array(x.ids, np.uint32) for x in self.model.encode_batch_fast(words, add_special_tokens=False)]
             n = np.fromiter(map(len, got), np.int64, len(got))
             where = np.searchsorted(self.keys, u[new])
             self.keys = np.insert(self.keys, where, u[new])
             self.at = np.insert(self.at, where, len(self.flat) + np.cumsum(n) - n)
             self.n = np.insert(self.n, where, n)
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in got for i in x), np.uint32, int(n.sum()))])
+            self.flat = np.concatenate([self.flat, *got])
         at = np.searchsorted(self.keys, u)
         n = self.n[at][inv]
         ends = np.cumsum(n)
