@@ -17,7 +17,7 @@ from stormlens.llm.common import bucket_of, read
 from stormlens.session import ensure_checkpoint_dir
 
 #: A document whose best language scores less belongs to none.
-MIN_LANGUAGE_SCORE = 0.4
+MIN_LANGUAGE_SCORE = 0.3
 TOKENIZER = "word_bpe_49k.json"
 
 
