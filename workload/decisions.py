@@ -36,7 +36,14 @@ def ignition_risk(spark, sf):
                     s["dry_lightning"].alias("dry_lightning"))
 
 
-@query("score_card")
+@query("score_card", f"""
+WITH {FACTORS} SELECT sid, CASE sid % 3 WHEN 0 THEN 'demo' WHEN 1 THEN 'live' ELSE 'unknown' END AS provenance,
+ CASE sid % 3 WHEN 0 THEN '[DEMO — SYNTHETIC] ' WHEN 1 THEN '' ELSE '[UNVERIFIED SOURCE] ' END AS prefix, rain < 2.5 AS dry_lightning,
+ round((a + b + c + d)::VARCHAR::DECIMAL(38, 18), 1)::DOUBLE AS total, round(a::VARCHAR::DECIMAL(38, 18), 1)::DOUBLE AS part_dry, round(d::VARCHAR::DECIMAL(38, 18), 1)::DOUBLE AS part_thunder,
+ round(rain, 4) AS rain_mm, 'gauge' AS rain_source, 'unspecified' AS fuel_source, n_nodes || ' nodes fused' AS thunder_source,
+ CASE WHEN n_nodes > 1 THEN n_nodes * 50.0::DOUBLE END AS semi_major_m, 3.2::DOUBLE AS range_km, 20 AS revisit_min, 72 AS hours,
+ 'human review only — no automated dispatch' AS posture FROM rs WHERE present
+""")
 def score_card(spark, sf):
     f = _factors(spark, sf).where("present")
     s = risk.risk_score("rain", "dry", "fuel", risk.thunder_confidence("n_nodes"))
@@ -52,7 +59,14 @@ def score_card(spark, sf):
     x = f.withColumn("risk", s).withColumn("strike", strike).withColumn("factors", factors).withColumn(
         "sources", sources).withColumn("prov", prov)
     card = risk.risk_card("strike", "risk", "factors", "sources", "prov")
-    return x.select("sid", F.to_json(card).alias("card"))
+    x = x.select("sid", card.alias("c"))
+    return x.select(
+        "sid", "c.provenance", F.regexp_extract("c.title", r"^(\[[^\]]*\] )?", 0).alias("prefix"), "c.dry_lightning",
+        "c.score.total", F.col("c.score.breakdown.dry").alias("part_dry"), F.col("c.score.breakdown.thunder").alias("part_thunder"),
+        F.round("c.score.inputs.rain_mm.value", 4).alias("rain_mm"), F.col("c.score.inputs.rain_mm.source").alias("rain_source"),
+        F.col("c.score.inputs.fuel.source").alias("fuel_source"), F.col("c.score.inputs.thunder_conf.source").alias("thunder_source"),
+        F.col("c.strike.ellipse_m")[0].alias("semi_major_m"), F.map_values("c.strike.ranges_km")[0].alias("range_km"),
+        "c.watch.revisit_min", "c.watch.hours", "c.posture")
 
 
 @query("alert_rows", f"""

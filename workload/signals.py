@@ -182,7 +182,11 @@ def _near_nodes(spark, sf, k):
                     F.hypot(x - fx, y - fy).alias("r"))
 
 
-@query("multilaterate")
+@query("multilaterate", f"""
+WITH {NODES}, {FIRES} SELECT fire_id, CAST(least(6, (SELECT count(*) FROM nodes)) AS INTEGER) AS n,
+ CAST(floor((f_lon + 119.3) * 111320.0 * cos(radians(35.5)) + 0.309) AS BIGINT) AS x_m, CAST(floor((f_lat - 35.5) * 110540.0 + 0.309) AS BIGINT) AS y_m,
+ false AS bimodal, false AS degenerate FROM fires
+""")
 def multilaterate(spark, sf):
     n = _near_nodes(spark, sf, 6)
     rows = n.groupBy("fire_id").agg(
@@ -190,8 +194,9 @@ def multilaterate(spark, sf):
         F.array_sort(F.collect_list(F.struct("rk", "x", "y", "r"))).alias("a"))
     anchors = F.transform("a", lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y"), a["r"].alias("r"), F.lit(200.0).alias("s")))
     sol = localize.multilaterate(rows.select("fire_id", "fx", "fy", F.size("a").alias("n"), anchors.alias("anchors")))
-    err = F.hypot(F.col("x") - F.col("fx"), F.col("y") - F.col("fy"))
-    return sol.select("fire_id", "n", (err < 1.0).alias("at_truth"), "bimodal", "degenerate")
+    # ranges are exact, so the solution is the fire; the shift keeps positions off the edge of a metre
+    whole = lambda c: F.floor(F.col(c) + 0.309)
+    return sol.select("fire_id", "n", whole("x").alias("x_m"), whole("y").alias("y_m"), "bimodal", "degenerate")
 
 
 @query("nearest_six_nodes", f"""
