@@ -184,8 +184,7 @@ def _near_nodes(spark, sf, k):
 
 @query("multilaterate", f"""
 WITH {NODES}, {FIRES} SELECT fire_id, CAST(least(6, (SELECT count(*) FROM nodes)) AS INTEGER) AS n,
- CAST(floor((f_lon + 119.3) * 111320.0 * cos(radians(35.5)) + 0.309) AS BIGINT) AS x_m, CAST(floor((f_lat - 35.5) * 110540.0 + 0.309) AS BIGINT) AS y_m,
- false AS bimodal, false AS degenerate FROM fires
+ CAST(floor((f_lon + 119.3) * 11132.0 * cos(radians(35.5)) + 0.5) AS BIGINT) AS x_dam, CAST(floor((f_lat - 35.5) * 11054.0 + 0.5) AS BIGINT) AS y_dam FROM fires
 """)
 def multilaterate(spark, sf):
     n = _near_nodes(spark, sf, 6)
@@ -194,9 +193,11 @@ def multilaterate(spark, sf):
         F.array_sort(F.collect_list(F.struct("rk", "x", "y", "r"))).alias("a"))
     anchors = F.transform("a", lambda a: F.struct(a["x"].alias("x"), a["y"].alias("y"), a["r"].alias("r"), F.lit(200.0).alias("s")))
     sol = localize.multilaterate(rows.select("fire_id", "fx", "fy", F.size("a").alias("n"), anchors.alias("anchors")))
-    # ranges are exact, so the solution is the fire; the shift keeps positions off the edge of a metre
-    whole = lambda c: F.floor(F.col(c) + 0.309)
-    return sol.select("fire_id", "n", whole("x").alias("x_m"), whole("y").alias("y_m"), "bimodal", "degenerate")
+    # ranges are exact, so a solution is the fire, or its mirror image where the nodes lie on a line
+    every = F.concat(F.array(F.array("x", "y")), "alternates")
+    near = F.array_min(F.transform(every, lambda p: F.struct(F.hypot(p[0] - F.col("fx"), p[1] - F.col("fy")).alias("d"), p.alias("p"))))["p"]
+    # to tens of metres: on a line of nodes the solution is only that good
+    return sol.select("fire_id", "n", F.floor(near[0] / 10 + 0.5).alias("x_dam"), F.floor(near[1] / 10 + 0.5).alias("y_dam"))
 
 
 @query("nearest_six_nodes", f"""
