@@ -28,8 +28,8 @@ PHASES, LEARNING = 8, 0.5
 REMEMBERED = 1_000_000
 #: Words encoded at once.
 _AT_ONCE = 8192
-#: Pieces ranked within one group.
-RANK_GROUP = 200_000
+#: Pieces of one length that are ranked in one group; a more frequent length is dealt over several.
+RANK_GROUP = 1000
 _CHUNK = 1 << 20
 
 
@@ -297,13 +297,15 @@ def pack(items: DataFrame, order: list[str], capacity: int = CAPACITY, phases: i
     """`items` (with a column length, 1..capacity) with sequence_id and offset.
 
     Sequences are filled without gaps from 0. `order` names the columns that rank items of equal
-    length; the rank is counted in groups of about RANK_GROUP items, so a frequent length is split.
+    length; ranks are counted in groups of about RANK_GROUP items, so a frequent length is split.
     An empty table gives no rows.
     """
     items = cut(items)
-    histogram = {r[0]: r[1] for r in items.groupBy("length").count().collect()}
-    groups = max(1, -(-sum(histogram.values()) // RANK_GROUP))
-    salted = items.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(groups)))
+    by_length = cut(items.groupBy("length").agg(F.count(F.lit(1)).alias("__n")))
+    histogram = {r[0]: r[1] for r in by_length.collect()}
+    # one row per length, so at most `capacity` rows are sent to the tasks
+    groups = by_length.select("length", F.ceil(F.col("__n") / RANK_GROUP).alias("__groups"))
+    salted = items.join(F.broadcast(groups), "length").withColumn("__salt", F.pmod(F.xxhash64(*order), F.col("__groups")))
     size = salted.groupBy("length", "__salt").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
     base = cut(size.select("length", "__salt", F.coalesce(before, F.lit(0)).alias("__before")))
