@@ -29,7 +29,7 @@ REMEMBERED = 1_000_000
 #: Words encoded at once.
 _AT_ONCE = 8192
 #: Pieces of one length that are ranked in one group; a more frequent length is dealt over several.
-RANK_GROUP = 1000
+RANK_GROUP = 200
 _CHUNK = 1 << 20
 
 
