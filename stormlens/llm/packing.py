@@ -9,6 +9,7 @@ pieces find their place by their rank among those of equal length.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left
 from collections import defaultdict
@@ -46,13 +47,24 @@ _tokenizers: dict[str, "WordIds"] = {}
 
 class WordIds:
     """Token ids of texts, word by word: a tokenizer that drops white space and cuts words from
-    trailing punctuation gives the same ids for the parts as for the whole."""
+    trailing punctuation gives the same ids for the parts as for the whole.
+
+    Literals of the tokenizer's special tokens are one id each, also inside a word, as the library
+    has it; texts are cut at them first.
+    """
 
     def __init__(self, path: str):
         # Spark's tasks are the parallel unit; threads of their own would only hold memory
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.model = Tokenizer.from_file(path)
+        added = self.model.get_added_tokens_decoder()
+        if odd := [t.content for t in added.values() if not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip]:
+            raise ValueError(f"added tokens that are not matched literally: {odd}")
+        self.special = {t.content.encode(): i for i, t in added.items()}
+        # the longest literal counts where several begin
+        self._literal = re.compile(b"|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) or rb"(?!)")
+        # words come here without literals, but lowered: <|ENDOFTEXT|> is no special token
         self.model.encode_special_tokens = True
         self._forget()
 
@@ -87,6 +99,22 @@ class WordIds:
 
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, ids per text)."""
+        raw = buf.tobytes()
+        if not self._literal.search(raw):
+            return self._plain(buf, off)
+        found = [m for a, b in zip(off[:-1].tolist(), off[1:].tolist()) for m in self._literal.finditer(raw, a, b)]
+        edges = np.array([m.span() for m in found], np.int64).reshape(-1, 2)
+        bounds = np.sort(np.concatenate([off, edges.ravel()]))
+        ids, n = self._plain(buf, bounds)
+        literal = np.isin(bounds[:-1], edges[:, 0]) & (np.diff(bounds) > 0)
+        count = np.where(literal, 1, n)
+        own = np.repeat(literal, count)
+        out = np.empty(len(own), np.uint32)
+        out[own], out[~own] = [self.special[m[0]] for m in found], ids[np.repeat(~literal, n)]
+        return out, np.diff(np.append(0, np.cumsum(count))[np.searchsorted(bounds, off)])
+
+    def _plain(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """`encode` for texts that hold no special token."""
         low, s, e, unit_at = self._units(buf, off)
         if not len(s):
             return np.zeros(0, np.uint32), np.zeros(len(off) - 1, np.int64)

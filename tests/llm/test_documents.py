@@ -180,6 +180,27 @@ def test_word_ids_equal_whole_text_ids(texts):
     assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
 
 
+UNTOUCHED, CODER = Tokenizer.from_file(TOKENIZER), packing.WordIds(TOKENIZER)
+PARTS = st.lists(st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "<|", "|>", "a", "Zé", "'t", "\u0301", "日", ".", "!", " ", "\n", "3"]), max_size=12).map("".join)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PARTS, min_size=1, max_size=4))
+def test_special_literals_are_ids_as_in_the_untouched_library(texts):
+    raw = [t.encode() for t in texts]
+    ids, n = CODER.encode(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+    want = [UNTOUCHED.encode(t, add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
+def test_packing_of_special_literals(spark):
+    rows = [(1, "end <|endoftext|> start", "en", "a"), (2, "<|endof", "en", "a"), (3, "text|>", "en", "a"), (4, "", "en", "a"),
+            (5, "a<|startoftext|>B<|endoftext|>" * 3000, "en", "a"), (6, "<|endoftext|>", "en", "a")]
+    got = packing.pack_documents(docs(spark, rows), TOKENIZER).collect()
+    want = sorted((i, *p) for i, t, *_ in rows for p in brute.pieces(UNTOUCHED, t))
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+
+
 def test_packing_odd_rows(odd, nothing):
     tok = Tokenizer.from_file(TOKENIZER)
     tok.encode_special_tokens = True
