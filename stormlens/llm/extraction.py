@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,13 +20,20 @@ select summary table tbody td tfoot th thead tr ul noscript head""".split())
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 #: Elements without an end.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is no text of the page.
-RAW = frozenset("script style title textarea iframe template svg math object noembed xmp canvas audio video".split())
+#: Elements whose content is no text of the page and no markup: it ends at their end tag only.
+RAW = frozenset("script style title textarea iframe noembed xmp".split())
+#: Elements whose content is markup but no text of the page; they end with their parent at the latest.
+EXCLUDED = frozenset("template svg math object canvas audio video".split())
+#: Of these, those in which a tag may close itself and a tag of the page ends them, except inside the second kind.
+FOREIGN, _INTEGRATION = ("svg", "math"), ("foreignobject", "desc", "annotation-xml")
+_BREAKOUT = BLOCKS | frozenset("b big br code em embed i img nobr ruby s small span strike strong sub sup tt u var".split())
 #: A start tag that ends an open element of these kinds.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
         "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("tbody", "tr", "td", "th")}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table",), "th": ("table",), "option": ("select",),
           "tbody": ("table",), "tfoot": ("table",)}
+#: Start tags inside these end nothing outside.
+_BOUND = ("object", "template", *_INTEGRATION)
 
 #: Words of class, id and role attributes, by what they tell.
 NAMES = {
@@ -86,22 +94,24 @@ class Reader:
         stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
         parts: list[str] = []
         linked, in_link, loose, at, size = 0, False, False, 0, len(page)
+        # place in the stack of the outermost excluded element that is open; inline elements open in and before it
+        dark, inner, outer = 0, Counter(), Counter()
 
         def text(piece: str):
             nonlocal linked
-            if piece:
+            if piece and not dark:
                 if "&" in piece:
                     piece = html.unescape(piece)
                 parts.append(piece)
                 if in_link:
                     linked += len(piece)
 
-        def flush():
+        def flush(path=None):
             nonlocal linked
             if parts:
                 whole = " ".join("".join(parts).split())
                 if whole:
-                    out.append(Block(whole, stack[-1][1], linked))
+                    out.append(Block(whole, stack[-1][1] if path is None else path, linked))
                 parts.clear()
             linked = 0
 
@@ -113,12 +123,24 @@ class Reader:
                 if stack[k][0] in scope:
                     return
 
+        def light():
+            """After a close: whether the excluded element went with it."""
+            nonlocal dark
+            if dark and len(stack) <= dark:
+                dark = 0
+                inner.clear()
+            return not dark
+
         while at < size:
             lt = page.find("<", at)
             if lt < 0:
                 text(page[at:])
                 break
             text(page[at:lt])
+            if dark and stack[-1][0] in FOREIGN and page.startswith("<![CDATA[", lt):
+                stop = page.find("]]>", lt)
+                at = stop + 3 if stop >= 0 else size
+                continue
             m = None if loose else _TOKEN.match(page, lt)
             if m is None and page[lt + 1:lt + 2] not in ("", "!", "?") and (page[lt + 1].isalpha() or page[lt + 1] == "/"):
                 m2 = _LOOSE.match(page, lt)
@@ -135,23 +157,60 @@ class Reader:
             if m.re is _TOKEN and m.group(2) is None:
                 continue
             end, tag, attrs = m.group(1), m.group(2).lower(), m.group(3)
-            if tag in RAW and not end:
+            foreign = stack[-1][0] in FOREIGN
+            if foreign and not end and tag in _BREAKOUT:
+                while len(stack) > 1 and stack[-1][0] in FOREIGN:
+                    stack.pop()
+                light()
+                foreign = False
+            if tag in RAW and not end and not foreign:
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
                 at = stop.end() if stop else size
-            elif tag == "a":
-                in_link = not end
-            elif tag == "br" or tag in VOID and tag not in BLOCKS:
-                parts.append(" ")
+            elif tag in EXCLUDED or tag in _INTEGRATION and dark:
+                if end:
+                    for k in range(len(stack) - 1, dark - 1 if dark else len(stack) - 1, -1):
+                        if stack[k][0] == tag:
+                            del stack[k:]
+                            light()
+                            break
+                elif not (attrs.endswith("/") and (foreign or tag in FOREIGN)):
+                    dark = dark or len(stack)
+                    stack.append((tag, stack[-1][1]))
             elif tag in BLOCKS:
-                flush()
+                # inside an excluded element, what was read before it stays open
+                path = stack[dark - 1][1] if dark else None
+                if not dark:
+                    flush()
+                was = dark
                 if end:
                     close(HEADINGS if tag in HEADINGS else (tag,), ())
                 elif tag not in VOID:
                     if tag in ENDS:
-                        close(ENDS[tag], _SCOPE[tag])
+                        close(ENDS[tag], (*_SCOPE[tag], *_BOUND))
                     elif tag not in ("option", "optgroup", "button"):
-                        close(("p",), ("td", "th", "button", "figure", "blockquote", "div", "article", "section"))
-                    stack.append((tag, self._path(stack[-1][1], tag, attrs.rstrip("/"))))
+                        close(("p",), ("td", "th", "button", "figure", "blockquote", "div", "article", "section", *_BOUND))
+                if light() and was:
+                    flush(path)
+                if not end and tag not in VOID:
+                    stack.append((tag, stack[-1][1] if dark else self._path(stack[-1][1], tag, attrs.rstrip("/"))))
+            elif tag == "br" or tag in VOID:
+                if not dark:
+                    parts.append(" ")
+            elif not end:
+                if not (foreign and attrs.endswith("/")):
+                    (inner if dark else outer)[tag] += 1
+                if tag == "a" and not dark:
+                    in_link = True
+            elif dark and inner[tag]:
+                inner[tag] -= 1
+            elif not dark or outer[tag]:
+                # the end of an inline parent ends the excluded element
+                if dark:
+                    del stack[dark:]
+                    light()
+                outer[tag] -= outer[tag] > 0
+                if tag == "a":
+                    in_link = False
         flush()
         return out
 
@@ -267,7 +326,8 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[list[Block], l
     Each page draws semantic tags or named divs, what surrounds the article, and what interrupts it.
     A mark at the start of article blocks carries the label through the reader and is then removed.
     """
-    rng = random.Random(seed)
+    # parts that are not shown are drawn on their own, so that the rest of a page does not depend on them
+    rng, other = random.Random(seed), random.Random(seed + 1)
     reader = Reader()
     syllables = "an ber co da el fi gor hen is ka lo mi nu or pa qui re sa to um va".split()
 
@@ -313,6 +373,16 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[list[Block], l
     def share():
         return f'<div class="{name("social")}">{links(2, 4)}</div>'
 
+    def unseen():
+        """What a browser with scripts does not show: fallback texts and hidden parts."""
+        nonlocal rng
+        own, rng = rng, other
+        inner, line = rng.choice((sentence(), f"<p>{prose(1, 3)}</p>", f"<p>{sentence()}</p><p>{prose(1, 2)}</p>")), sentence()
+        tag = rng.choice(("noscript", "noscript", "noscript", "div", "section", "p"))
+        attr = rng.choice((" hidden", ' aria-hidden="true"', ' style="display:none"', ' style="display: none"')) if tag != "noscript" else ""
+        rng = own
+        return f"<{tag}{attr}>{line if tag == 'p' else inner}</{tag}>"
+
     def kept(inner):
         return MARK + inner
 
@@ -341,6 +411,8 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[list[Block], l
                 out.append(f"<div>{kept(prose())}</div>")
             else:
                 out.append(rng.choice((ad, side, share, notice))())
+            if other.random() < 0.06:
+                out.append(unseen())
         inner = "".join(out)
         kind = rng.random()
         if kind < 0.45:
@@ -356,6 +428,8 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[list[Block], l
         parts = ["<head><title>x</title><style>p{}</style></head><body>"]
         if rng.random() < 0.3:
             parts.append(notice())
+        if other.random() < 0.2:
+            parts.append(unseen())
         if rng.random() < 0.5:
             parts.append(box("header", "head", f"<h2>{words(1, 4)}</h2>" * rng.randint(0, 1) + (links() if rng.random() < 0.5 else words(1, 6))))
         if rng.random() < 0.8:
@@ -363,13 +437,17 @@ def labelled_pages(count: int = 400, seed: int = 5) -> list[tuple[list[Block], l
         for part, chance in ((ad, 0.5), (side, 0.25), (form, 0.15), (ad, 0.15)):
             if rng.random() < chance:
                 parts.append(part())
-        parts.append(article())
+        whole = article()
+        parts.append(whole)
         for part, chance in ((share, 0.2), (comments, 0.35), (side, 0.3), (ad, 0.3), (form, 0.15), (notice, 0.15)):
             if rng.random() < chance:
                 parts.append(part())
+        if other.random() < 0.15:
+            parts.append(unseen())
         if rng.random() < 0.85:
             parts.append(box("footer", "foot", rng.choice(("&copy; ", "", "Copyright ")) + words(1, 4) + rng.choice(("", " &middot; " + prose(1, 3), links(1, 4)))))
-        got = reader.blocks("".join(parts))
+        # some pages are the article alone
+        got = reader.blocks(whole if other.random() < 0.05 else "".join(parts))
         labels = [int(MARK in b.text) for b in got]
         for b in got:
             b.text = " ".join(b.text.replace(MARK, "").split()) or "x"

@@ -146,6 +146,30 @@ def test_pages_around_an_article(net):
     assert text_of(net, page) == "A title & more\nFirst <para> with bold and break.\nSecond été.\nItem one\nItem two"
 
 
+@pytest.mark.parametrize("odd", [
+    '<svg viewBox="0 0 1 1"/>', "<math/>", "<svg><style/><path d=x/><title/></svg>", "<svg><title>no</title><g><text>no</text></g></svg>",
+    "<svg><foreignObject><p>no</p></foreignObject></svg>", "<svg><style><![CDATA[ <p>no ]]></style></svg>", "<canvas>no</canvas>", "<video><source src=x>no</video>",
+    "<object><p>no</p></object>", "<template><div><p>no</p></div></template>", "<noembed><p>no</noembed>", "<svg><path>", "<math><mi>no"])
+def test_elements_without_text_of_the_page(net, odd):
+    page = f"<body><header class=masthead>{odd}</header><article><h1>A title</h1><p>First {odd} words.</p><p>Second words here.</p></article></body>"
+    # what has no end is open until its parent ends
+    closed = odd.endswith("/>") or f"</{odd[1:].split('>')[0].split()[0]}>" in odd
+    assert text_of(net, page) == f"A title\nFirst {'words.' if closed else ''}".rstrip() + "\nSecond words here."
+
+
+@pytest.mark.parametrize("odd", ["<canvas>", "<video src=x>", "<audio>", "<object data=x>", "<template>", "<svg>"])
+def test_missing_ends_close_with_the_parent(odd):
+    got = [b.text for b in extraction.Reader().blocks(f"<div>Before {odd}no</div><p>One <span>{odd}no</span> two.</p><ul><li>{odd}no</ul><p>Last.")]
+    assert got == ["Before", "One two.", "Last."]
+
+
+def test_unseen_parts_are_no_article(net):
+    for unseen in ("<noscript>Please turn on scripts to read on here.</noscript>", "<noscript><p>Please turn on scripts to read.</p></noscript>",
+                   "<div hidden><p>An old draft of the text.</p></div>", '<div style="display:none"><p>An old draft of it all.</p></div>'):
+        page = f"<body>{unseen}<article><h1>A title</h1><p>First words of the text.</p>{unseen}<p>Second words here.</p></article></body>"
+        assert text_of(net, page) == "A title\nFirst words of the text.\nSecond words here."
+
+
 def test_odd_markup_never_fails(net):
     for page in ("", "   ", "<", "<p", "a < b & c", '<p title="never closed>text</p><p>more', "<script>never closed", "<!-- never closed <p>x", "</p></p>",
                  "<p>" * 3000 + "deep", '<a "' * 2000, "<div " * 2000, "\x00<p>퟿</p>", "<p>&#xD800;&bogus;&amp</p>"):
