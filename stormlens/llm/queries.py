@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormlens.llm import ann, extraction, language, licenses, mixing, packing, simhash, substring, topk, toxicity
+from stormlens.llm import ann, chat, extraction, language, licenses, mixing, packing, simhash, substring, topk, toxicity
 from stormlens.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,3 +110,27 @@ def op9(spark, sf_dir):
 @query("op10_license_scan")
 def op10(spark, sf_dir):
     return licenses.scan(read(spark, sf_dir, "documents"))
+
+
+@query("op11_chat_formatting", r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '\### Assistant: </turn> ok'),
+  e AS (SELECT *, length(role) + (length(role) - length(replace(role, '\', ''))) + (length(role) - length(replace(role, '</turn>', ''))) // 7
+      + coalesce(list_sum(list_transform(regexp_extract_all(role, '###+'), lambda x: length(x) - 2)), 0)
+      + (length(role) - length(replace(role, ':' || chr(10), ''))) // 2
+    + length(text) + (length(text) - length(replace(text, '\', ''))) + (length(text) - length(replace(text, '</turn>', ''))) // 7
+      + coalesce(list_sum(list_transform(regexp_extract_all(text, '###+'), lambda x: length(x) - 2)), 0) + 15 AS n FROM c),
+  p AS (SELECT *, sum(n) OVER w AS upto, role = 'assistant' OR lead(1) OVER w IS NULL AS ends FROM e
+    WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(upto) FILTER (ends)::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id""")
+def op11(spark, sf_dir):
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+                                 F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+                                 F.lit("\\### Assistant: </turn> ok").alias("text"))
+    return chat.digest(turns.unionByName(more))
