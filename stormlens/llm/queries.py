@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormlens.llm import ann, chat, extraction, language, licenses, mixing, packing, simhash, substring, topk, toxicity
+from stormlens.llm import ann, chat, extraction, language, licenses, merkle, mixing, packing, simhash, substring, topk, toxicity
 from stormlens.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,3 +134,35 @@ def op11(spark, sf_dir):
                                  F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
                                  F.lit("\\### Assistant: </turn> ok").alias("text"))
     return chat.digest(turns.unionByName(more))
+
+
+_LEAF = "sha256(" + " || ".join(
+    f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END" for c in ["doc_id", "source", "lang", "n_chars", "{text}"]) + ")"
+
+
+@query("op12_merkle_manifest", f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, source, {_LEAF.format(text="text")} AS leaf,
+    {_LEAF.format(text="replace(text, chr(10), '')")} AS tampered, doc_id::VARCHAR AS s FROM documents),
+  e AS (SELECT *, xor(list_reduce(list_concat([4294967295], flatten(list_transform(range(1, length(s) + 1), lambda k:
+    [ascii(s[k]), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x)
+    ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) AS crc FROM d),
+  l AS (SELECT *, CASE WHEN crc % 2 = 0 THEN tampered ELSE leaf END AS claimed, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM e),
+  t(source, lev, i, h, n) AS (SELECT source, 0, i, leaf, n FROM l UNION ALL
+    SELECT source, lev + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM t WHERE n > 1 GROUP BY source, lev, n, i // 3),
+  s AS (SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+  u(lev, i, h, n) AS (SELECT 0, i, h, n FROM s UNION ALL
+    SELECT lev + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM u WHERE n > 1 GROUP BY lev, n, i // 3),
+  p(rid, source, lev, i, n, cur, sib) AS (SELECT rid, source, 0, i, n, claimed, '' FROM l UNION ALL
+    SELECT p.rid, p.source, p.lev + 1, p.i // 3, (p.n + 2) // 3, sha256(string_agg(CASE WHEN t.i = p.i THEN p.cur ELSE t.h END, '' ORDER BY t.i)),
+      p.sib || coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i <> p.i), '')
+    FROM p JOIN t ON t.source IS NOT DISTINCT FROM p.source AND t.lev = p.lev AND t.i // 3 = p.i // 3 WHERE p.n > 1
+    GROUP BY p.rid, p.source, p.lev, p.i, p.n, p.sib),
+  q(rid, lev, i, n, cur, sib) AS (SELECT p.rid, 0, s.i, s.n, p.cur, p.sib FROM p JOIN s ON s.source IS NOT DISTINCT FROM p.source WHERE p.n = 1
+    UNION ALL SELECT q.rid, q.lev + 1, q.i // 3, (q.n + 2) // 3, sha256(string_agg(CASE WHEN u.i = q.i THEN q.cur ELSE u.h END, '' ORDER BY u.i)),
+      q.sib || coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i <> q.i), '')
+    FROM q JOIN u ON u.lev = q.lev AND u.i // 3 = q.i // 3 WHERE q.n > 1 GROUP BY q.rid, q.lev, q.i, q.n, q.sib)
+SELECT doc_id, leaf, s.h AS subroot, u.h AS root, sha256(q.sib) AS proof_sha256, q.cur AS folded_root, q.cur = u.h AS verified
+FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN q ON q.rid = l.rid AND q.n = 1 JOIN u ON u.n = 1""")
+def op12(spark, sf_dir):
+    return merkle.document_manifest(read(spark, sf_dir, "documents"))
