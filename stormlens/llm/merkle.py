@@ -144,20 +144,24 @@ def ranked(rows: DataFrame, order: list[str]) -> DataFrame:
     return placed.join(base, ["tree", "__part"]).select(*rows.columns, (F.col("__place") + F.col("__before")).alias("rank"))
 
 
-def _build(leaf_blocks: int):
+def _build(most: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("rank")
         tree, block, n = table["tree"][0], table["block"][0], table.num_rows
-        # the first block of a tree may be all of it; every other is one of several and goes all levels up
-        height = HEIGHT if block.as_py() > 0 else levels_over(n)
+        height = _height(block.as_py(), n, most)
         root, store = build_block(table["digest"].to_pylist(), height)
         return pa.table({"tree": [tree.as_py()], "block": [block.as_py()], "n": [n], "root": [root], "store": [store]},
                         schema=pa.schema([("tree", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("root", pa.binary()), ("store", pa.binary())]))
     return run
 
 
-def _block(rank: str = "rank") -> Column:
-    return F.floor(F.col(rank) / RUN ** HEIGHT).cast("long").alias("block")
+def _height(block: int, n: int, most: int) -> int:
+    """Levels of a block: the first of a tree may be all of it; every other is one of several and goes all levels up."""
+    return most if block > 0 else levels_over(n)
+
+
+def _block(height: int) -> Column:
+    return F.floor(F.col("rank") / RUN ** height).cast("long").alias("block")
 
 
 def _several(blocks: DataFrame, how: str) -> DataFrame:
@@ -165,11 +169,11 @@ def _several(blocks: DataFrame, how: str) -> DataFrame:
     return blocks.join(blocks.where("block = 1").select("tree"), "tree", how)
 
 
-def forest(nodes: DataFrame) -> list[DataFrame]:
+def forest(nodes: DataFrame, height: int = HEIGHT) -> list[DataFrame]:
     """Block tables of (tree, rank, digest) by round; round k + 1 stands on the block roots of round k."""
     rounds = []
     while True:
-        blocks = cut(nodes.select("tree", "rank", "digest", _block()).groupBy("tree", "block").applyInArrow(_build(RUN ** HEIGHT), _STORE))
+        blocks = cut(nodes.select("tree", "rank", "digest", _block(height)).groupBy("tree", "block").applyInArrow(_build(height), _STORE))
         rounds.append(blocks)
         if blocks.where("block > 0").isEmpty():
             return rounds
@@ -185,35 +189,33 @@ def roots(rounds: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _height(blocks_first: bool, n: int) -> int:
-    return levels_over(n) if blocks_first else HEIGHT
-
-
-def _paths(batches):
+def _paths(most: int):
     """The path of every node of a block, the block's own path after it."""
-    for b in batches:
-        for r in b.to_pylist():
-            height = _height(r["block"] == 0, r["n"])
-            paths = [sibling_path(r["store"], r["n"], height, i) + r["above"] for i in range(r["n"])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["tree"]] * r["n"]), pa.array(np.arange(r["n"]) + r["block"] * RUN ** HEIGHT, pa.int64()), pa.array(paths, pa.binary())],
-                names=["tree", "rank", "above"])
+    def run(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                height, n = _height(r["block"], r["n"], most), r["n"]
+                paths = [sibling_path(r["store"], n, height, i) + r["above"] for i in range(n)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r["tree"]] * n), pa.array(np.arange(n) + r["block"] * RUN ** most, pa.int64()), pa.array(paths, pa.binary())],
+                    names=["tree", "rank", "above"])
+    return run
 
 
-def node_paths(rounds: list[DataFrame], above: DataFrame, down_to: int = 0) -> DataFrame:
-    """(tree, block, n, store, above) of round `down_to`: each block with the path from its root upwards.
+def block_paths(rounds: list[DataFrame], above: DataFrame, height: int = HEIGHT) -> DataFrame:
+    """(tree, block, n, store, above) of the first round: each block with the path from its root upwards.
 
     `above` (tree, round, above) is the path over the root of each tree.
     """
     upper = None
-    for k in range(len(rounds) - 1, down_to - 1, -1):
+    for k in range(len(rounds) - 1, -1, -1):
         here = above.where(F.col("round") == k).select("tree", F.lit(0).cast("long").alias("block"), "above")
         if upper is not None:
             here = here.unionByName(upper.select("tree", F.col("rank").alias("block"), "above"))
         blocks = rounds[k].join(here, ["tree", "block"]).select("tree", "block", "n", "store", "above")
-        if k == down_to:
+        if k == 0:
             return blocks
-        upper = blocks.mapInArrow(_paths, "tree string, rank long, above binary")
+        upper = blocks.mapInArrow(_paths(height), "tree string, rank long, above binary")
 
 
 @dataclass
@@ -225,57 +227,59 @@ class Manifest:
     top_rounds: list[DataFrame]
     tops: DataFrame
     root: bytes | None
+    height: int
 
 
-def manifest(leaves: DataFrame, order: list[str]) -> Manifest:
+def manifest(leaves: DataFrame, order: list[str], height: int = HEIGHT) -> Manifest:
     """Trees over rows with columns (group, digest, ...): leaves of a group ascend by `order`, groups by their UTF-8 bytes, null first."""
     # '-' sorts before '=': a tree name is never null and keeps the order of the groups
     named = leaves.withColumn("tree", F.coalesce(F.concat(F.lit("="), "group"), F.lit("-")))
     rows = cut(ranked(named, order))
-    rounds = forest(rows)
+    rounds = forest(rows, height)
     subroots = ranked(roots(rounds).select(F.lit("").alias("tree"), F.col("tree").alias("name"), F.col("root").alias("digest"), "round"), ["name"])
     subroots = cut(subroots)
-    top_rounds = forest(subroots)
+    top_rounds = forest(subroots, height)
     over = roots(top_rounds).select("tree", "root", "round", F.lit(b"").alias("above"))
     first = over.first()
-    paths = node_paths(top_rounds, over).mapInArrow(_paths, "tree string, rank long, above binary")
+    paths = block_paths(top_rounds, over, height).mapInArrow(_paths(height), "tree string, rank long, above binary")
     tops = subroots.join(paths, ["tree", "rank"]).select(F.col("name").alias("tree"), "round", F.col("digest").alias("subroot"), "above")
-    return Manifest(rows, rounds, top_rounds, cut(tops), first["root"] if first else None)
+    return Manifest(rows, rounds, top_rounds, cut(tops), first["root"] if first else None, height)
 
 
-def _fold_block(key, left: pa.Table, right: pa.Table) -> pa.Table:
+def _fold_block(most: int):
     """Proof and folded root of every row of a block."""
-    r = {c: right[c][0].as_py() for c in right.column_names} if right.num_rows else None
-    proof, folded = [], []
-    if r is not None:
-        height = _height(r["block"] == 0, r["n"])
-        above, upper = r["above"], {}
-        shared = [s for _, near in steps(above) for s in near]
-        for rank, digest in zip(left["rank"].to_pylist(), left["claimed"].to_pylist()):
-            own = sibling_path(r["store"], r["n"], height, rank - r["block"] * RUN ** HEIGHT)
-            proof.append(join_hash([s for _, near in steps(own) for s in near] + shared))
-            top = fold(digest, own)
-            if top not in upper:
-                upper[top] = fold(top, above)
-            folded.append(upper[top])
-    keep = [c for c in left.column_names if c not in ("block", "claimed", "rank")]
-    out = left.select(keep)
-    out = out.append_column("subroot", pa.array([r["subroot"]] * left.num_rows if r else [], pa.binary()))
-    return out.append_column("proof", pa.array(proof, pa.binary())).append_column("folded", pa.array(folded, pa.binary()))
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        r = {c: right[c][0].as_py() for c in right.column_names} if right.num_rows else None
+        proof, folded = [], []
+        if r is not None:
+            height, above, upper = _height(r["block"], r["n"], most), r["above"], {}
+            shared = [s for _, near in steps(above) for s in near]
+            for rank, digest in zip(left["rank"].to_pylist(), left["claimed"].to_pylist()):
+                own = sibling_path(r["store"], r["n"], height, rank - r["block"] * RUN ** most)
+                proof.append(join_hash([s for _, near in steps(own) for s in near] + shared))
+                top = fold(digest, own)
+                if top not in upper:
+                    upper[top] = fold(top, above)
+                folded.append(upper[top])
+        out = left.select([c for c in left.column_names if c not in ("block", "claimed", "rank")])
+        for name, v in (("subroot", [r["subroot"]] * left.num_rows if r else []), ("proof", proof), ("folded", folded)):
+            out = out.append_column(name, pa.array(v, pa.binary()))
+        return out
+    return run
 
 
 def verify(m: Manifest) -> DataFrame:
     """Leaves with `subroot`, `proof` (digest of all siblings up to the root) and `folded`, the root recomputed from `claimed`."""
-    paths = node_paths(m.rounds, m.tops.select("tree", "round", "above"))
+    paths = block_paths(m.rounds, m.tops.select("tree", "round", "above"), m.height)
     paths = paths.join(m.tops.select("tree", "subroot"), "tree")
-    rows = m.leaves.select("*", _block())
+    rows = m.leaves.select("*", _block(m.height))
     fields = [f for f in m.leaves.schema if f.name not in ("claimed", "rank")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", subroot binary, proof binary, folded binary"
-    return rows.groupBy("tree", "block").cogroup(paths.groupBy("tree", "block")).applyInArrow(_fold_block, schema)
+    return rows.groupBy("tree", "block").cogroup(paths.groupBy("tree", "block")).applyInArrow(_fold_block(m.height), schema)
 
 
 def document_manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "source", fields: list[str] | None = None,
-                      text_col: str = "text") -> DataFrame:
+                      text_col: str = "text", height: int = HEIGHT) -> DataFrame:
     """One row a document: leaf, subroot, root, proof_sha256, folded_root and verified, digests in lowercase hex.
 
     Documents whose unsigned crc32(id) is even are checked as if the line ends of their text had been deleted; they verify only
@@ -292,7 +296,7 @@ def document_manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str =
     changed = even & F.coalesce(F.contains(F.col(text_col), F.lit("\n")), F.lit(False))
     leaves = docs.select(F.col(id_col).alias("id"), F.col(group_col).cast("string").alias("group"), leaf.alias("digest"),
                          F.when(changed, leaf_digest(tampered)).otherwise(leaf).alias("claimed"))
-    m = manifest(leaves, ["id", "digest"])
+    m = manifest(leaves, ["id", "digest"], height)
     root = F.lit(m.root.hex() if m.root else "")
     got = verify(m).select(
         F.col("id").alias(id_col), F.lower(F.hex("digest")).alias("leaf"), F.lower(F.hex("subroot")).alias("subroot"), root.alias("root"),

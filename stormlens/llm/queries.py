@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormlens.llm import ann, chat, extraction, language, licenses, merkle, mixing, packing, simhash, substring, topk, toxicity
+from stormlens.llm import alignment, ann, chat, extraction, language, licenses, merkle, mixing, packing, simhash, substring, topk, toxicity
 from stormlens.llm.common import bucket_of, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,9 @@ SELECT doc_id, leaf, s.h AS subroot, u.h AS root, sha256(q.sib) AS proof_sha256,
 FROM l JOIN s ON s.source IS NOT DISTINCT FROM l.source JOIN q ON q.rid = l.rid AND q.n = 1 JOIN u ON u.n = 1""")
 def op12(spark, sf_dir):
     return merkle.document_manifest(read(spark, sf_dir, "documents"))
+
+
+@query("op13_tokenizer_alignment")
+def op13(spark, sf_dir):
+    return alignment.align(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("piece_bpe_32k.model"))[0]
