@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 from hashlib import sha256
 
 import numpy as np
@@ -34,6 +35,12 @@ BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s
 _loaded: dict[str, object] = {}
 
 
+def _table(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All token bytes one after the other, where each begins, and its length."""
+    size = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size
+
+
 class ByteLevel:
     """Ids and bytes of a byte-level BPE vocabulary file; special tokens in a text are plain text."""
 
@@ -51,9 +58,10 @@ class ByteLevel:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for t, i in ranks.items():
             self.bytes[i] = t
+        self.flat, self.start, self.size = _table(self.bytes)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [self.model.encode_ordinary(" " + t) for t in texts]
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [self.model.encode_to_numpy(" " + t, disallowed_special=()) for t in texts]
 
 
 class Pieces:
@@ -66,9 +74,10 @@ class Pieces:
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             self.bytes.append(bytes([int(piece[3:5], 16)]) if self.model.is_byte(i) else piece.replace("▁", " ").encode())
+        self.flat, self.start, self.size = _table(self.bytes)
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return self.model.encode(texts, num_threads=1)
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x, np.uint32) for x in self.model.encode(texts, num_threads=1)]
 
 
 def _get(kind, path: str):
@@ -83,40 +92,39 @@ def group_ends(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Stretches of equal slices are jumped by exponential probing at the current shift; between them the smaller
     end moves on until both meet again.
     """
-    raw_a, raw_b = a.tobytes(), b.tobytes()
-    la, lb = a.tolist(), b.tolist()
-    n, m, i, j = len(la), len(lb), 0, 0
-    first_a, first_b, length = [], [], []  # stretches of one-to-one tokens, or one meeting
+    # unequal last entries: no comparison needs a bound
+    raw_a, raw_b = np.append(a, -1).tobytes(), np.append(b, -2).tobytes()
+    la, lb = [*a.tolist(), -1], [*b.tolist(), -2]
+    n, m, i, j = len(a), len(b), 0, 0
+    runs = []  # first index in a, in b, and length of each stretch of common ends
     while i < n and j < m:
-        if la[i] == lb[j]:
-            # raw_a[8 i:8 (i + k)] == raw_b[8 j:8 (j + k)] holds for k = low and not for k = high
-            low, step, most = 1, 2, min(n - i, m - j)
-            high = most + 1
-            while step <= most:
-                if raw_a[8 * (i + low):8 * (i + step)] != raw_b[8 * (j + low):8 * (j + step)]:
-                    high = step
-                    break
-                low, step = step, 2 * step
+        x, y = la[i], lb[j]
+        # an irregular group: the smaller end moves on, until both meet at a new shift
+        while x != y:
+            if x < y:
+                i += 1
+                x = la[i]
+            else:
+                j += 1
+                y = lb[j]
+        low = 1
+        if la[i + 1] == lb[j + 1]:
+            # slices of length low are equal, those of length high are not
+            low, high = 2, 4
+            while raw_a[8 * (i + low):8 * (i + high)] == raw_b[8 * (j + low):8 * (j + high)]:
+                low, high = high, 2 * high
             while high - low > 1:
-                mid = min((low + high) // 2, most)
+                mid = (low + high) // 2
                 if raw_a[8 * (i + low):8 * (i + mid)] == raw_b[8 * (j + low):8 * (j + mid)]:
                     low = mid
                 else:
                     high = mid
-            first_a.append(i), first_b.append(j), length.append(low)
-            i, j = i + low, j + low
-        # an irregular group: walk to the next common end, which sets the new shift
-        while i < n and j < m:
-            x, y = la[i], lb[j]
-            if x < y:
-                i += 1
-            elif y < x:
-                j += 1
-            else:
-                break
-    length = np.array(length, np.int64)
+        runs += (i, j, low)
+        i += low
+        j += low
+    first_a, first_b, length = np.array(runs, np.int64).reshape(-1, 3).T
     step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    return np.repeat(np.array(first_a, np.int64), length) + step, np.repeat(np.array(first_b, np.int64), length) + step
+    return np.repeat(first_a, length) + step, np.repeat(first_b, length) + step
 
 
 def links(a: np.ndarray, b: np.ndarray, at_a: np.ndarray, at_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -162,6 +170,16 @@ def group_texts(ids_a: np.ndarray, ids_b: np.ndarray, at_a: np.ndarray, at_b: np
     return cells[keep].tobytes(), np.cumsum(keep.sum(axis=1))[ends]
 
 
+def _packed(places: np.ndarray) -> bytes:
+    """Rising numbers as compressed steps."""
+    return zlib.compress(np.diff(places, prepend=0).astype(np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 1) if len(places) else b""
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    steps = np.frombuffer(zlib.decompress(data), np.uint8) if data else np.zeros(0, np.uint8)
+    return np.cumsum(np.ascontiguousarray(steps.reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64))
+
+
 class _Pack:
     """Documents and distinct token pairs of up to PACK_BYTES of text."""
 
@@ -183,8 +201,8 @@ class _Pack:
             own = inverse[at:at + len(keys)]
             at += len(keys)
             links = rows.pop("links")
-            # a document's links as places in the pack's table of pairs
-            rows["links"] = pa.array([own[x].astype(np.uint32).tobytes() for x in links], pa.binary())
+            # a document's links as places in the pack's table of pairs, in order, so that their steps are small
+            rows["links"] = pa.array([_packed(own[x]) for x in links], pa.binary())
             n = len(links)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([self.name] * n)] + [rows[f.name] if f.name in rows else pa.nulls(n, f.type) for f in list(schema)[1:]], schema=schema)
@@ -196,24 +214,35 @@ class _Pack:
                 [pa.array([self.name] * (hi - lo))] + [empty[f.name][lo:hi] if f.name in empty else pa.nulls(hi - lo, f.type) for f in list(schema)[1:]], schema=schema)
 
 
+def _tokens(tok, texts: list[str], want: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all texts, tokens of each, whether their bytes are those wanted)."""
+    got = tok.encode(texts)
+    number = np.fromiter(map(len, got), np.int64, len(got))
+    ids = np.concatenate([*got, np.zeros(0, np.uint32)]).astype(np.int64)
+    size = tok.size[ids]
+    upto = np.append(0, np.cumsum(size))
+    bounds = upto[np.append(0, np.cumsum(number))]
+    good = np.diff(bounds) == np.diff(off)
+    data = tok.flat[np.arange(upto[-1]) + np.repeat(tok.start[ids] - upto[:-1], size)]
+    for k in range(len(texts)):
+        good[k] = good[k] and np.array_equal(data[bounds[k]:bounds[k + 1]], want[off[k]:off[k + 1]])
+    return ids, number, good
+
+
 def align_texts(texts: list[str], tok_a, tok_b) -> tuple:
     """Which texts have tokens, and of those, one after the other: ids of a and of b, tokens a text, group ends, token ends."""
-    wanted = [(" " + t).encode() for t in texts]
-    ids_a, ids_b, len_a, len_b, number_a, number_b, good = [], [], [], [], [], [], []
-    for k, (x, y, want) in enumerate(zip(tok_a.encode(texts), tok_b.encode(texts), wanted)):
-        bytes_a, bytes_b = [tok_a.bytes[i] for i in x], [tok_b.bytes[i] for i in y]
-        ok = len(want) > 1 and b"".join(bytes_a) == want and b"".join(bytes_b) == want
-        good.append(ok)
-        if ok:
-            ids_a += x
-            ids_b += y
-            len_a += map(len, bytes_a)
-            len_b += map(len, bytes_b)
-            number_a.append(len(x))
-            number_b.append(len(y))
-    ends_a, ends_b = np.cumsum(np.array(len_a, np.int64)), np.cumsum(np.array(len_b, np.int64))
+    raw = [(" " + t).encode() for t in texts]
+    off = np.append(0, np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw))))
+    want = np.frombuffer(b"".join(raw), np.uint8)
+    ids_a, number_a, good_a = _tokens(tok_a, texts, want, off)
+    ids_b, number_b, good_b = _tokens(tok_b, texts, want, off)
+    good = good_a & good_b & (np.diff(off) > 1)
+    if not good.all():
+        ids_a, ids_b = ids_a[np.repeat(good, number_a)], ids_b[np.repeat(good, number_b)]
+        number_a, number_b = number_a[good], number_b[good]
+    ends_a, ends_b = np.cumsum(tok_a.size[ids_a]), np.cumsum(tok_b.size[ids_b])
     at_a, at_b = group_ends(ends_a, ends_b)
-    return good, np.array(ids_a, np.int64), np.array(ids_b, np.int64), np.array(number_a, np.int64), np.array(number_b, np.int64), at_a, at_b, ends_a, ends_b
+    return good, ids_a, ids_b, number_a, number_b, at_a, at_b, ends_a, ends_b
 
 
 def _align(path_a: str, path_b: str, id_type: pa.DataType, stamp: str):
@@ -231,7 +260,6 @@ def _align(path_a: str, path_b: str, id_type: pa.DataType, stamp: str):
                 raw = buf.tobytes()
                 texts = [raw[x:y].decode(errors="replace") for x, y in zip(off[:-1].tolist(), off[1:].tolist())]
                 good, ids_a, ids_b, number_a, number_b, at_a, at_b, ends_a, ends_b = align_texts(texts, tok_a, tok_b)
-                good = np.array(good, bool)
                 upto_a = np.cumsum(number_a) - 1
                 last = np.searchsorted(at_a, upto_a)  # each text ends a group
                 text, ends = group_texts(ids_a, ids_b, at_a, at_b, digits, last)
@@ -243,7 +271,7 @@ def _align(path_a: str, path_b: str, id_type: pa.DataType, stamp: str):
                 doc = np.searchsorted(upto_a, link_a)
                 key = ids_a[link_a] << 32 | ids_b[link_b]
                 distinct, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-                by_doc = inverse[np.argsort(doc, kind="stable")]
+                by_doc = np.sort(doc << 32 | inverse) & 0xFFFFFFFF
                 bounds = np.append(0, np.cumsum(np.bincount(doc, minlength=len(number_a))))
                 n = hi - lo
 
@@ -273,7 +301,7 @@ def _score(key, docs: pa.Table, pairs: pa.Table) -> pa.Table:
     total, best = pairs["total"].to_numpy(), pairs["best"].to_numpy().astype(bool)
     n_links, n_best, count_sum = [], [], []
     for x in docs["links"].to_pylist():
-        at = np.frombuffer(x, np.uint32)
+        at = _unpacked(x)
         n_links.append(len(at))
         n_best.append(int(best[at].sum()) if len(at) else 0)
         count_sum.append(int(total[at].sum()) if len(at) else 0)
