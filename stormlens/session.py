@@ -29,13 +29,15 @@ def build_session(app: str = "stormlens", master: str | None = None, **conf) ->
     for k, v in {**defaults, **conf}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    if not spark.sparkContext.master.startswith("local"):
-        ship(spark)
+    ship(spark)
     return spark
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, whose Python workers import it by name."""
+    """Send this package to the Python workers, which import it by name, whatever folder they start in.
+
+    Also for sessions that were not made here; done once a session.
+    """
     if getattr(spark, "_stormlens_shipped", False):
         return
     package = os.path.dirname(os.path.abspath(__file__))

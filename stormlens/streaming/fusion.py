@@ -7,10 +7,9 @@ is that of the batch job over the same events.
 
 from __future__ import annotations
 
-import json
-from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,85 +23,141 @@ from stormlens.operators.pairing import PAIR_MAX_S, PAIR_MIN_S
 from stormlens.streaming.tiers import ROCKSDB
 
 
-class IncidentProcessor(StatefulProcessor):
-    """Per region: open flashes and recent thunder; emits (t_strike, vsn, ranges) of closed incidents."""
+#: Seconds of flashes whose groups are settled at once, and of strikes whose thunder is gathered under one key.
+SETTLE_S, BLOCK_S = 60.0, 90.0
 
-    def __init__(self, width_s: float, lo_s: float, hi_s: float, temp_c: float):
-        self.width, self.lo, self.hi, self.c = width_s, lo_s, hi_s, sound_speed_ms(temp_c)
+
+class FlashGroups(StatefulProcessor):
+    """Per region: flash times by stretch of SETTLE_S; emits the first time of each group once its stretch is over.
+
+    Grouping against a group's first flash is sequential, so only times pass through here. A stretch is a map entry of
+    its own and is dropped when it is settled.
+    """
+
+    def __init__(self, width_s: float):
+        self.width = width_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("open", "stretch long", "times array<double>")
+        self.last = handle.getValueState("last", "start double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            t = pdf["time_epoch"].to_numpy(float)[(pdf["type"] == "flash").to_numpy()]
+            stretch = np.floor(t / SETTLE_S).astype(np.int64)
+            for b in np.unique(stretch).tolist():
+                have = []
+                if self.open.containsKey((b,)):
+                    have = list(self.open.getValue((b,))[0])
+                else:
+                    self.handle.registerTimer(int((b + 1) * SETTLE_S * 1000))
+                self.open.updateValue((b,), (have + t[stretch == b].tolist(),))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # timers come in order of time, so stretches are settled in order
+        end = expiredTimerInfo.getExpiryTimeInMs() / 1000.0
+        b = int(round(end / SETTLE_S)) - 1
+        last, starts = self.last.get()[0] if self.last.exists() else None, []
+        for t in sorted(self.open.getValue((b,))[0]):
+            if last is None or t - last > self.width:
+                starts.append(t)
+                last = t
+        self.open.removeKey((b,))
+        if last is not None:
+            self.last.update((last,))
+        if starts:
+            # never behind the watermark, or the next operator would take them as late
+            at = max(int(end * 1000), timerValues.getCurrentWatermarkInMs() + 1)
+            yield pd.DataFrame({"region": pd.Series([key[0]] * len(starts), dtype=object), "t_strike": starts,
+                                "at": pd.to_datetime([at] * len(starts), unit="ms")})
+
+    def close(self) -> None:
+        pass
+
+
+class Ranges(StatefulProcessor):
+    """Per (region, block of strike times): strikes and the thunder in reach; emits all incidents of the block at its end."""
+
+    def __init__(self, lo_s: float, hi_s: float, temp_c: float):
+        self.lo, self.hi, self.c = lo_s, hi_s, sound_speed_ms(temp_c)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.store = handle.getValueState("open", "state string")
-
-    def _load(self) -> dict:
-        if self.store.exists():
-            return json.loads(self.store.get()[0])
-        return {"flashes": [], "thunder": [], "last": None}
-
-    def _close(self, key, s: dict, watermark: float) -> pd.DataFrame:
-        """Emit incidents that can no longer change and forget what cannot be paired any more."""
-        rows, flashes, i = [], sorted(s["flashes"]), 0
-        thunder = sorted(s["thunder"], key=lambda k: k[1])
-        times = [k[1] for k in thunder]
-        while i < len(flashes):
-            f = flashes[i]
-            if s["last"] is not None and f - s["last"] <= self.width:
-                i += 1
-                continue
-            if watermark <= f + self.hi:
-                break
-            ranges: dict = {}
-            # one unit of slack around the window, then the exact test
-            for vsn, t, km in thunder[bisect_left(times, f + self.lo - 1):bisect_right(times, f + self.hi + 1)]:
-                if self.lo <= t - f <= self.hi:
-                    ranges.setdefault(vsn, set()).add(round(km if km is not None else (t - f) * self.c / 1000, 3))
-            rows += [(key[0], f, v, sorted(r)) for v, r in sorted(ranges.items())]
-            s["last"] = f
-            i += 1
-        s["flashes"] = flashes[i:]
-        oldest = min([watermark, *s["flashes"]])
-        s["thunder"] = [k for k in thunder if k[1] >= oldest + self.lo]
-        self.store.update((json.dumps(s),))
-        if s["flashes"]:
-            # one timer, for the oldest open incident; closing it sets the next
-            self.handle.registerTimer(int((s["flashes"][0] + self.hi) * 1000) + 2)
-        return pd.DataFrame(rows, columns=["region", "t_strike", "vsn", "ranges"])
+        self.strikes = handle.getListState("strikes", "t double")
+        self.thunder = handle.getListState("thunder", "vsn string, t double, km double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        s = self._load()
+        if not (self.strikes.exists() or self.thunder.exists()):
+            self.handle.registerTimer(int(((key[1] + 1) * BLOCK_S + self.hi + SETTLE_S) * 1000) + 1)
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                t = float(r.time_epoch)
-                if r.type == "flash":
-                    s["flashes"].append(t)
-                elif r.type == "thunder":
-                    km = r.implied_range_km
-                    s["thunder"].append([r.vsn, t, None if km is None or km != km else float(km)])
-        yield self._close(key, s, timerValues.getCurrentWatermarkInMs() / 1000.0)
+            own = pdf["t_strike"].notna().to_numpy()
+            if own.any():
+                self.strikes.appendList([(t,) for t in pdf["t_strike"].to_numpy(float)[own].tolist()])
+            if not own.all():
+                heard = pdf[~own]
+                km = [None if k != k else k for k in heard["implied_range_km"].to_numpy(float).tolist()]
+                self.thunder.appendList(list(zip(heard["vsn"].tolist(), heard["time_epoch"].to_numpy(float).tolist(), km)))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._close(key, self._load(), timerValues.getCurrentWatermarkInMs() / 1000.0)
+        flashes = np.sort(np.array([t for (t,) in self.strikes.get()], float)) if self.strikes.exists() else np.zeros(0)
+        pairs = []
+        if len(flashes) and self.thunder.exists():
+            for vsn, t, km in self.thunder.get():
+                # one unit of slack around the window, then the exact test
+                a, b = np.searchsorted(flashes, [t - self.hi - 1, t - self.lo + 1])
+                for f in flashes[a:b].tolist():
+                    if self.lo <= t - f <= self.hi:
+                        pairs.append((f, vsn, round(km if km is not None else (t - f) * self.c / 1000, 3)))
+        self.strikes.clear()
+        self.thunder.clear()
+        ranges: dict = {}
+        for f, vsn, km in sorted(set(pairs)):
+            ranges.setdefault((f, vsn), []).append(km)
+        if ranges:
+            yield pd.DataFrame({"region": pd.Series([key[0]] * len(ranges), dtype=object), "t_strike": [f for f, _ in ranges],
+                                "vsn": pd.Series([v for _, v in ranges], dtype=object), "ranges": pd.Series(list(ranges.values()), dtype=object)})
 
     def close(self) -> None:
         pass
 
 
+def strike_starts(events: DataFrame, width_s: float = COINCIDENCE_S) -> DataFrame:
+    """Streaming (region, t_strike, at): first flash of each group; `at` is when it was settled."""
+    return events.groupBy("region").transformWithStateInPandas(
+        statefulProcessor=FlashGroups(width_s), outputStructType=T.StructType.fromDDL("region string, t_strike double, at timestamp"),
+        outputMode="Append", timeMode="EventTime", eventTimeColumnName="at")
+
+
 def incident_stream(events: DataFrame, *, lateness: str = "30 seconds", region: str | None = None,
                     width_s: float = COINCIDENCE_S, pair_s=(PAIR_MIN_S, PAIR_MAX_S), temp_c: float = 20.0) -> DataFrame:
     """Streaming (region, t_strike, vsn, ranges). events: type, vsn, time_epoch, implied_range_km.
 
-    `region` keeps storms apart and lets them run in parallel; without it the fleet is one key.
+    `region` keeps storms apart; without it the fleet is one region. Only flash times of a region meet under one key; strikes
+    and thunder are kept by (region, 90 seconds), so a busy region is spread over many keys. vsn is returned as a string.
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    key = F.col(region).cast("string") if region else F.lit("fleet")
+    key = F.coalesce(F.col(region).cast("string"), F.lit("")) if region else F.lit("fleet")
     ts = F.timestamp_micros((F.col("time_epoch") * 1e6).cast("bigint"))
-    # other event types only advance the watermark; a filter here would be moved below it
-    x = events.select(key.alias("region"), "type", "vsn", "time_epoch", "implied_range_km", ts.alias("ts"))
-    x = x.withWatermark("ts", lateness)
-    vsn = x.schema["vsn"].dataType.simpleString()
-    return x.groupBy("region").transformWithStateInPandas(
-        statefulProcessor=IncidentProcessor(width_s, *pair_s, temp_c),
-        outputStructType=T.StructType.fromDDL(f"region string, t_strike double, vsn {vsn}, ranges array<double>"),
+    x = events.where(F.col("time_epoch").isNotNull()).select(key.alias("region"), "type", F.col("vsn").cast("string").alias("vsn"), "time_epoch", "implied_range_km", ts.alias("at"))
+    x = x.withWatermark("at", lateness)
+
+    def only(kind):
+        # other types still advance the watermark: a condition that also names the time is not moved below it
+        return x.where(F.col("type").eqNullSafe(kind) == F.col("at").isNotNull())
+    starts = strike_starts(only("flash"), width_s)
+    block = lambda t: F.floor(t / BLOCK_S).cast("long")
+    lo, hi = pair_s
+    # strikes come first: the event time of a union is that of its first part
+    rows = starts.select("region", block(F.col("t_strike")).alias("block"), "t_strike", F.lit(None).cast("string").alias("vsn"),
+                         F.lit(None).cast("double").alias("time_epoch"), F.lit(None).cast("double").alias("implied_range_km"), "at")
+    heard = only("thunder").select(
+        "region", F.explode(F.sequence(block(F.col("time_epoch") - hi - 1), block(F.col("time_epoch") - lo + 1))).alias("block"),
+        F.lit(None).cast("double").alias("t_strike"), "vsn", "time_epoch", "implied_range_km", "at")
+    return rows.unionByName(heard).groupBy("region", "block").transformWithStateInPandas(
+        statefulProcessor=Ranges(lo, hi, temp_c), outputStructType=T.StructType.fromDDL("region string, t_strike double, vsn string, ranges array<double>"),
         outputMode="Append", timeMode="EventTime")
 
 

@@ -1,6 +1,7 @@
 """Streams against their batch twins, readers and writers on small files."""
 
 import json
+import random
 import os
 import struct
 
@@ -11,7 +12,7 @@ from stormlens import schemas
 from stormlens.operators.localize import fuse_strikes
 from stormlens.plans import coverage, scan
 from stormlens.sources import feeds, media, tables
-from stormlens.streaming import frames, fusion, reviews, tiers
+from stormlens.streaming import clock, frames, fusion, reviews, tiers
 from tests.test_science import NODES, storm
 
 HOUR = 3600.0
@@ -98,24 +99,60 @@ def test_fusion_stream_equals_batch(spark, tmp_path):
         os.utime(f, (1_700_000_000 + i, 1_700_000_000 + i))   # the source reads files by their time
     nodes = spark.createDataFrame([(v, *p) for v, p in NODES.items()], "vsn string, lat double, lon double")
     got = []
-    src = feeds.event_stream(spark, str(tmp_path / "in"), maxFilesPerTrigger=2)
-    q = fusion.run_fusion(src, nodes, lambda s, i: got.extend(s.collect()), str(tmp_path / "ck"), {"availableNow": True})
-    q.awaitTermination()
+    clock.open_clock(spark, str(tmp_path / "clock"))
+    src = clock.with_clock(feeds.event_stream(spark, str(tmp_path / "in"), maxFilesPerTrigger=2).select(*schema_names(schema)), str(tmp_path / "clock"))
+    clock.run_to_end(spark, str(tmp_path / "clock"), lambda: fusion.run_fusion(
+        src, nodes, lambda s, i: got.extend(s.collect()), str(tmp_path / "ck"), {"availableNow": True}))
     want = fuse_strikes(spark.createDataFrame(ev, schema), nodes).collect()
     key = lambda rows: sorted((round(r.t_strike, 3), r.n_nodes, r.quality, round(r.lat, 4), round(r.lon, 4)) for r in rows)
     assert key(got) == key(want) and len(want) == 3
 
 
+def schema_names(ddl):
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def test_incidents_of_a_disordered_stream_equal_plain_pairing_to_the_last(spark, tmp_path):
+    rng = random.Random(1)
+    ev = [("r%d" % (k % 2), "flash", None, rng.uniform(0, 900), None) for k in range(150)]
+    ev += [("r%d" % (k % 2), "thunder", "v%d" % rng.randint(0, 4), rng.uniform(0, 1000), rng.choice([None, 2.5])) for k in range(150)]
+    ev.sort(key=lambda e: e[3] + rng.uniform(0, 20))
+    schema = "region string, type string, vsn string, time_epoch double, implied_range_km double"
+    for k in range(3):
+        spark.createDataFrame(ev[k * 100:(k + 1) * 100], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    clock.open_clock(spark, str(tmp_path / "clock"))
+    src = clock.with_clock(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "clock"))
+    x = fusion.incident_stream(src, region="region")
+    clock.run_to_end(spark, str(tmp_path / "clock"), lambda: x.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    c, want = fusion.sound_speed_ms(20.0), {}
+    for r in ("r0", "r1"):
+        last = None
+        for f in sorted(e[3] for e in ev if e[:2] == (r, "flash")):
+            if last is not None and f - last <= fusion.COINCIDENCE_S:
+                continue
+            last = f
+            for reg, kind, v, t, km in ev:
+                if (reg, kind) == (r, "thunder") and fusion.PAIR_MIN_S <= t - f <= fusion.PAIR_MAX_S:
+                    want.setdefault((r, f, v), set()).add(round(km if km is not None else (t - f) * c / 1000, 3))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted((*k, sorted(v)) for k, v in want.items())
+
+
 def test_frame_stream_equals_batch(spark, tmp_path):
-    rows = [("W1", i * 0.5, 95.0 if i in (100, 250) else 12.0 + (i * 7 % 5) / 10) for i in range(400)] + [("W1", 5000.0, 1.0)]
+    rows = [("W1", 1200 + i * 0.5, 95.0 if i in (100, 250) else 12.0 + (i * 7 % 5) / 10) for i in range(400)] + [("W2", 5000.0, 1.0)]
     df = spark.createDataFrame(rows, schemas.FRAMES)
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    seen = []
-    q = frames.run_frames(spark.readStream.schema(schemas.FRAMES).parquet(str(tmp_path / "in")),
-                          lambda s, c, i: seen.extend((r.vsn, r.t) for r in s.collect()), str(tmp_path / "ck"), {"availableNow": True})
-    q.awaitTermination()
-    batch = frames.batch_spikes(frames.frame_batches(df.where("t < 1000")))
-    assert sorted(seen) == sorted((r.vsn, r.t) for r in batch.collect()) == [("W1", 50.0), ("W1", 125.0)]
+    seen, counted = [], []
+    clock.open_clock(spark, str(tmp_path / "clock"), "t")
+    src = clock.with_clock(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), str(tmp_path / "clock"), "t", "kind")
+
+    def sink(s, c, i):
+        seen.extend((r.vsn, r.t) for r in s.collect())
+        counted.extend(map(tuple, c.collect()))
+    clock.run_to_end(spark, str(tmp_path / "clock"), lambda: frames.run_frames(src, sink, str(tmp_path / "ck"), {"availableNow": True}), "t")
+    batch = frames.frame_batches(df)
+    assert sorted(seen) == sorted((r.vsn, r.t) for r in frames.batch_spikes(batch).collect()) == [("W1", 1250.0), ("W1", 1325.0)]
+    assert sorted(counted) == sorted(map(tuple, frames.batch_counters(batch).collect())) and ("W2", 4980.0, 1) in counted
 
 
 def test_review_stream_and_dispatch(spark, tmp_path):

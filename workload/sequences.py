@@ -47,20 +47,21 @@ def greedy_dedupe(spark, sf):
                            nearest="value")
 
 
-def _spike_sql(final: str) -> str:
+def spike_sql(final: str, also: str = "0 AS one", by: str = "vsn") -> str:
+    """Spikes of each `by`, of which `also` adds a column to the events."""
     near = ", ".join(f"lag(value, {i}) OVER w AS p{i}, lead(value, {i}) OVER w AS n{i}" for i in (1, 2, 3))
     p = [f"coalesce(p{i}, f)" for i in (1, 2, 3)]
     n = [f"coalesce(n{i}, l)" for i in (1, 2, 3)]
     seven = ", ".join([p[2], p[1], p[0], "value", n[0], n[1], n[2]])
     five = ", ".join([p[1], p[0], "value", n[0], n[1]])
     return f"""
-WITH {EVENTS}, s AS (SELECT event_id, vsn, t, value, {near}, t - lag(t) OVER w AS gp, lead(t) OVER w - t AS gn, count(*) OVER (PARTITION BY vsn) AS n,
-  first_value(value) OVER w AS f, last_value(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM ev WINDOW w AS (PARTITION BY vsn ORDER BY t)),
+WITH {EVENTS}, e AS (SELECT *, {also} FROM ev), s AS (SELECT event_id, {by}, t, value, {near}, t - lag(t) OVER w AS gp, lead(t) OVER w - t AS gn, count(*) OVER (PARTITION BY {by}) AS n,
+  first_value(value) OVER w AS f, last_value(value) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM e WINDOW w AS (PARTITION BY {by} ORDER BY t)),
 d AS (SELECT *, value - CASE WHEN n >= 7 THEN list_sort([{seven}])[4] ELSE list_sort([{five}])[3] END AS d,
   list_aggregate(list_filter([p3, p2, p1, n1, n2, n3], lambda x: x IS NOT NULL), 'median') AS base FROM s WHERE n >= 5),
-m AS (SELECT vsn, quantile_cont(d, 0.5) AS med FROM d GROUP BY 1),
-a AS (SELECT vsn, quantile_cont(abs(d - med), 0.5) AS mad FROM d JOIN m USING (vsn) GROUP BY 1),
-h AS (SELECT *, 0.6745 * (d - med) / (mad + 1e-12) AS z FROM d JOIN m USING (vsn) JOIN a USING (vsn) WHERE 0.6745 * (d - med) / (mad + 1e-12) > 4.0 AND d > 8.0)
+m AS (SELECT {by}, quantile_cont(d, 0.5) AS med FROM d GROUP BY {by}),
+a AS (SELECT {by}, quantile_cont(abs(d - med), 0.5) AS mad FROM d JOIN m USING ({by}) GROUP BY {by}),
+h AS (SELECT *, 0.6745 * (d - med) / (mad + 1e-12) AS z FROM d JOIN m USING ({by}) JOIN a USING ({by}) WHERE 0.6745 * (d - med) / (mad + 1e-12) > 4.0 AND d > 8.0)
 {final}"""
 
 
@@ -69,12 +70,12 @@ def _spikes(spark, sf):
     return S.robust_spikes(e, ["vsn"], "t", "value", block=BLOCK, sparse_after=3 * HOUR)
 
 
-@query("spikes_per_node", _spike_sql("SELECT vsn, count(*) AS n_spikes, round(max(z), 4) AS max_z FROM h GROUP BY 1"))
+@query("spikes_per_node", spike_sql("SELECT vsn, count(*) AS n_spikes, round(max(z), 4) AS max_z FROM h GROUP BY 1"))
 def spikes_per_node(spark, sf):
     return _spikes(spark, sf).groupBy("vsn").agg(F.count(F.lit(1)).alias("n_spikes"), F.round(F.max("z"), 4).alias("max_z"))
 
 
-@query("spike_features", _spike_sql(f"""SELECT event_id, round(d, 6) AS rise, round(z, 4) AS z, least(gp, gn) AS min_gap, round(base, 6) AS local_base,
+@query("spike_features", spike_sql(f"""SELECT event_id, round(d, 6) AS rise, round(z, 4) AS z, least(gp, gn) AS min_gap, round(base, 6) AS local_base,
  round(value - base, 6) AS jump, least(gp, gn) > {3 * HOUR} AS sparse, base > 90.0 AS daytime, 0.5::DOUBLE AS sigma_s FROM h WHERE NOT (base > 90.0)"""))
 def spike_features(spark, sf):
     x = S.flash_anchors(_spikes(spark, sf))

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from stormlens.functions.timecols import micros
 from stormlens.session import ensure_checkpoint_dir
-from stormlens.streaming import frames as fr, fusion, tiers
-from workload.base import DAY, EVENTS, HOUR, MINUTE, events, nodes, query, r6, table
+from stormlens.functions.physics import sound_speed_ms
+from stormlens.streaming import clock, frames as fr, fusion, tiers
+from workload.base import DAY, EVENTS, events, query, r6, table
+from workload.sequences import spike_sql
 
 
 def _stream(spark, sf):
@@ -18,12 +20,16 @@ def _stream(spark, sf):
                       "value", F.regexp_extract("props", r"(\d+)", 1).cast("int").alias("k"))
 
 
-def _finish(spark, writer):
-    """Run a stream over what is there now; returns the folder of its output."""
+def _ended(spark, rows, time="time_epoch", kind="type"):
+    """(folder, stream of `rows` with a clock): what `_finish` runs to its end."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
-    q = writer(base).option("checkpointLocation", base + "/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return base
+    clock.open_clock(spark, base + "/clock", time)
+    return base, clock.with_clock(rows, base + "/clock", time, kind)
+
+
+def _finish(spark, base, writer, time="time_epoch"):
+    """Run a stream over all there is, until its last window has come out."""
+    clock.run_to_end(spark, base + "/clock", lambda: writer.option("checkpointLocation", base + "/state").trigger(availableNow=True).start(), time)
 
 
 def _watch_inputs(e):
@@ -57,8 +63,9 @@ def tier_batch(spark, sf):
 
 @query("tier_stream")
 def tier_stream(spark, sf):
-    x = tiers.tier_stream(_watch_inputs(_stream(spark, sf)), _watch_nodes(spark, sf))
-    base = _finish(spark, lambda b: x.writeStream.format("parquet").option("path", b + "/out").outputMode("append"))
+    base, rows = _ended(spark, _watch_inputs(_stream(spark, sf)), time="t", kind="none")
+    x = tiers.tier_stream(rows, _watch_nodes(spark, sf))
+    _finish(spark, base, x.writeStream.format("parquet").option("path", base + "/out").outputMode("append"), "t")
     return _audit_columns(spark.read.parquet(base + "/out"))
 
 
@@ -72,50 +79,56 @@ def replay_metrics(spark, sf):
                     "sectors_watched", "guardrails", "audit_records")
 
 
-CLOSED = f"""
-WITH RECURSIVE {EVENTS}, o AS (SELECT t, row_number() OVER (ORDER BY t) AS rn FROM ev WHERE name = 'view'),
-g(rn, t, s) AS (SELECT rn, t, t FROM o WHERE rn = 1 UNION ALL SELECT o.rn, o.t, CASE WHEN o.t - g.s <= 90000000 THEN g.s ELSE o.t END FROM g JOIN o ON o.rn = g.rn + 1),
-st AS (SELECT DISTINCT s FROM g WHERE s + 5400000000 < (SELECT max(t) FROM ev) - 30 * 60000000),
-p AS (SELECT s, vsn, round((t - s) / 60000000.0::DOUBLE * 343.0 / 1000.0, 2) AS km FROM st JOIN ev ON t - s BETWEEN 54000000 AND 5400000000 WHERE name = 'purchase')
-SELECT round(s / 60000000.0::DOUBLE, 3) AS t_strike, count(DISTINCT vsn) AS n_nodes FROM p GROUP BY 1
+FUSED = f"""
+WITH RECURSIVE {EVENTS}, o AS (SELECT vsn % 8 AS region, t, row_number() OVER (PARTITION BY vsn % 8 ORDER BY t) AS rn FROM ev WHERE name = 'view'),
+g(region, rn, t, s) AS (SELECT region, rn, t, t FROM o WHERE rn = 1 UNION ALL
+  SELECT o.region, o.rn, o.t, CASE WHEN o.t - g.s <= 90000000 THEN g.s ELSE o.t END FROM g JOIN o ON o.region = g.region AND o.rn = g.rn + 1),
+st AS (SELECT DISTINCT region, s FROM g),
+p AS (SELECT DISTINCT st.region, s, vsn, round((t / 6e7::DOUBLE - s / 6e7::DOUBLE) * {sound_speed_ms(20.0)}::DOUBLE / 1000.0, 3) AS km
+  FROM st JOIN ev ON ev.vsn % 8 = st.region AND t - s BETWEEN 54000000 AND 5400000000 WHERE name = 'purchase')
+SELECT region::VARCHAR AS region, round(s / 60000000.0::DOUBLE, 3) AS t_strike, vsn::VARCHAR AS vsn, count(*) AS n_ranges,
+  round(min(km), 3) AS nearest_km, round(max(km), 3) AS farthest_km, round(sum(km), 3) AS sum_km FROM p GROUP BY 1, 2, 3
 """
 
 
-@query("fusion_stream", CLOSED)
+@query("fusion_stream", FUSED)
 def fusion_stream(spark, sf):
-    """A minute of the table is a second of the storm."""
+    """A minute of the table is a second of the storm; eight regions of nodes, each with its own strikes."""
     e = _stream(spark, sf)
-    ev = e.select(F.when(F.col("name") == "view", "flash").when(F.col("name") == "purchase", "thunder").otherwise("other").alias("type"),
+    ev = e.select((F.col("vsn") % 8).cast("string").alias("region"),
+                  F.when(F.col("name") == "view", "flash").when(F.col("name") == "purchase", "thunder").otherwise("other").alias("type"),
                   "vsn", (F.col("t") / 6e7).alias("time_epoch"), F.lit(None).cast("double").alias("implied_range_km"))
-    x = fusion.incident_stream(ev)
-    base = _finish(spark, lambda b: x.writeStream.format("parquet").option("path", b + "/out").outputMode("append"))
-    return spark.read.parquet(base + "/out").groupBy(F.round("t_strike", 3).alias("t_strike")).agg(
-        F.count(F.lit(1)).alias("n_nodes"))
+    base, ev = _ended(spark, ev)
+    x = fusion.incident_stream(ev, region="region")
+    _finish(spark, base, x.writeStream.format("parquet").option("path", base + "/out").outputMode("append"))
+    km = F.col("ranges")
+    return spark.read.parquet(base + "/out").select(
+        "region", F.round("t_strike", 3).alias("t_strike"), "vsn", F.size(km).cast("bigint").alias("n_ranges"), F.round(F.array_min(km), 3).alias("nearest_km"),
+        F.round(F.array_max(km), 3).alias("farthest_km"), F.round(F.aggregate(km, F.lit(0.0), lambda a, k: a + k), 3).alias("sum_km"))
+
+
+def _frame_windows(spark, sf, seconds, handle, parts=1):
+    """Run the frame job over the event table; `handle(rows)` is written for each micro-batch, which replaces itself if repeated."""
+    f = _stream(spark, sf).select("vsn", (F.col("t") / 1e6).alias("t"), F.col("value").alias("luma"))
+    base, f = _ended(spark, f, time="t", kind="none")
+
+    def write(batch, batch_id):
+        handle(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+    _finish(spark, base, fr.frame_batches(f, seconds=seconds, parts=parts).writeStream.foreachBatch(write).outputMode("append"), "t")
+    return spark.read.parquet(base + "/out").drop("batch")
 
 
 @query("frame_batches", f"""
-WITH {EVENTS} SELECT vsn, (t // {DAY}) * 86400.0::DOUBLE AS batch_start, count(*) AS frames_checked FROM ev
-WHERE (t // {DAY} + 1) * {DAY} <= (SELECT max(t) FROM ev) - {30 * MINUTE // 60} GROUP BY 1, 2
+WITH {EVENTS} SELECT vsn, (t // {DAY}) * 86400.0::DOUBLE AS batch_start, count(*) AS frames_checked FROM ev GROUP BY 1, 2
 """)
 def frame_batches(spark, sf):
     """Frame counters of the streaming job; a day of the table is one batch."""
-    f = _stream(spark, sf).select("vsn", (F.col("t") / 1e6).alias("t"), F.col("value").alias("luma"))
-    x = fr.batch_counters(fr.frame_batches(f, seconds=86400))
-    base = _finish(spark, lambda b: x.writeStream.format("parquet").option("path", b + "/out").outputMode("append"))
-    return spark.read.parquet(base + "/out").select("vsn", "batch_start", F.col("frames_checked").cast("bigint").alias("frames_checked"))
+    return _frame_windows(spark, sf, 86400, fr.batch_counters)
 
 
-@query("spike_stream")
+@query("spike_stream", spike_sql(f"SELECT vsn, week * 604800.0::DOUBLE AS batch_start, t / 1000000.0::DOUBLE AS t, round(d, 6) AS rise, round(z, 4) AS z FROM h",
+                                 f"t // {7 * DAY} AS week", "vsn, week"))
 def spike_stream(spark, sf):
-    base_dir = {}
-    f = _stream(spark, sf).select("vsn", (F.col("t") / 1e6).alias("t"), F.col("value").alias("luma"))
-
-    def writer(b):
-        base_dir["out"] = b + "/out"
-
-        def handle(batch, batch_id):
-            fr.batch_spikes(batch, seconds=604800).write.mode("overwrite").parquet(f"{b}/out/batch={batch_id}")
-        return fr.frame_batches(f, seconds=604800).writeStream.foreachBatch(handle).outputMode("append")
-    _finish(spark, writer)
-    x = spark.read.parquet(base_dir["out"])
-    return x.select("vsn", "batch_start", "t", r6("rise").alias("rise"), F.round("z", 4).alias("z"))
+    """Spikes of the streaming job; a week of the table is one batch."""
+    got = _frame_windows(spark, sf, 604800, lambda b: fr.batch_spikes(b, seconds=604800), parts=2)
+    return got.select("vsn", "batch_start", "t", r6("rise").alias("rise"), F.round("z", 4).alias("z"))
