@@ -31,7 +31,7 @@ def strike(t, risk=87.0):
 
 def tier_path(spark, rows, cfg=tiers.TierConfig()):
     n = spark.createDataFrame([("W1", 35.0, -119.0)], "vsn string, lat double, lon double")
-    a = tiers.tier_batch(inputs(spark, rows), n, cfg).collect()
+    a = sorted(tiers.tier_batch(inputs(spark, rows), n, cfg).collect(), key=lambda r: r.t)
     return [r.detail.split(":")[0] for r in a if r.kind == "transition"], a
 
 
@@ -73,18 +73,121 @@ def run(spark, writer, tmp_path):
     writer.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
 
 
-def test_tier_stream_equals_batch(spark, tmp_path):
-    rows = happy() + [dict(vsn="W2", t=float(t), regional_strikes=t % 5, local_flash=t % 7 == 0) for t in range(0, 90000, 1777)]
-    df = inputs(spark, rows)
-    ordered = sorted(df.collect(), key=lambda r: r.t)
-    for i in range(0, len(ordered), 9):   # several files, one micro-batch each
-        spark.createDataFrame(ordered[i:i + 9], df.schema).coalesce(1).write.json(str(tmp_path / f"in/{i:04d}"))
-    src = (spark.readStream.schema(schemas.TIER_INPUT).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1)
-           .option("latestFirst", "false").json(str(tmp_path / "in")))
-    out = tiers.tier_stream(src)
-    run(spark, out.writeStream.format("parquet").option("path", str(tmp_path / "out")), tmp_path)
-    key = lambda d: sorted((r.vsn, r.t, r.kind, r.detail, r.tier) for r in d.collect())
-    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(tiers.tier_batch(df))
+def plain_watch(rows, cfg):
+    """(t, kind, detail, tier) of one node's rows, one after the other."""
+    tier, since, active, armed, used, day, log, out = "IDLE", 0.0, 0.0, None, 0.0, None, [], []
+    names = {n: k for k, n in enumerate(tiers.TIERS)}
+    for n, r in enumerate(rows):
+        x = {**dict(outlook_elevated=False, nearest_cell_km=None, regional_strikes=0, pressure_drop_hpa_3h=0.0, gust_ms=0.0,
+                    local_flash=False, local_thunder=False, strikes=[]), **r}
+        t, was, why = x["t"], tier, None
+        near = ((x["nearest_cell_km"] is not None and x["nearest_cell_km"] <= cfg.approach_cell_km) or x["regional_strikes"] >= cfg.approach_strikes
+                or (x["pressure_drop_hpa_3h"] >= cfg.pressure_drop_hpa_3h and x["gust_ms"] >= cfg.gust_ms))
+        here, calm = x["local_flash"] or x["local_thunder"], "OUTLOOK" if x["outlook_elevated"] else "IDLE"
+        active = t if near or here else active
+        log += [k for k in x["strikes"] if k not in log]
+        add = lambda kind, detail: out.append((t, kind, detail, names[tier]))
+        off = arm = watch = False
+        if tier in ("IDLE", "OUTLOOK"):
+            if near:
+                to, why, arm = "APPROACH", "storm evidence from idle" if tier == "IDLE" else "approach evidence", True
+            elif tier == "IDLE" and x["outlook_elevated"]:
+                to, why = "OUTLOOK", "elevated outlook"
+            elif tier == "OUTLOOK" and not x["outlook_elevated"] and t - since > cfg.outlook_timeout_hours * 3600:
+                to, why = "IDLE", "outlook expired"
+        elif tier == "APPROACH":
+            if here:
+                to, why = "STORM", "first local flash/thunder"
+            elif t - active > cfg.approach_timeout_hours * 3600:
+                add("guardrail", "approach timed out with no storm")
+                to, why, off = calm, "approach timeout auto-revert", True
+        elif tier == "STORM":
+            overlong, quiet = (t - since) / 3600 >= cfg.max_storm_hours, (t - active) / 60
+            if overlong:
+                add("guardrail", f"max storm hours ({cfg.max_storm_hours}) reached")
+            if overlong or quiet >= cfg.storm_quiet_min:
+                off, watch = True, bool(log)
+                to, why = ("AFTERMATH", f"storm quiet {quiet:.0f} min; {len(log)} strike(s) logged") if log else (calm, "storm quiet, no localized strikes")
+        elif here:
+            to, why, arm = "STORM", "renewed local activity", True
+        elif t - max(k["time_epoch"] for k in log) > cfg.aftermath_hours * 3600:
+            add("action", "stop holdover watch")
+            log.clear()
+            to, why = calm, "aftermath complete"
+        if off and armed is not None:
+            used, armed = used + t - armed, None
+            add("action", "revert to baseline sampling")
+        if why:
+            tier, since = to, t
+            add("transition", f"{was} -> {to}: {why}")
+            if (was, to) == ("APPROACH", "STORM"):
+                add("notify", "storm-mode entered")
+            if arm and armed is None:
+                if day != int(t // 86400):
+                    day, used = int(t // 86400), 0.0
+                if used < cfg.max_continuous_hours_day * 3600:
+                    armed = t
+                    add("action", "arm continuous capture")
+                else:
+                    add("guardrail", "daily continuous-capture budget exhausted; NOT arming")
+            if watch:
+                near_ones = [k for k in log if 0 <= t - k["time_epoch"] <= 72 * HOUR]
+                add("action", f"start holdover watch: {len(near_ones)} sector(s), 72 h")
+        if why or n % cfg.heartbeat_every == 0:
+            out.append((t, "poll", tier, names[tier]))
+    return out
+
+
+def wild_rows(seed, n):
+    """Rows of changing density, from minutes to days apart, with strikes that repeat and come late."""
+    rng, t, out, mode = random.Random(seed), 1_000_000.0, [], 0
+    for _ in range(n):
+        if rng.random() < 0.05:
+            mode = rng.randrange(4)
+        t += rng.uniform(1, [120, 900, 9000, 30 * HOUR][mode])
+        r = dict(t=t, outlook_elevated=rng.random() < 0.3)
+        if rng.random() < 0.2:
+            r["nearest_cell_km"] = rng.uniform(0, 400)
+        if rng.random() < 0.1:
+            r["local_flash"] = True
+        if rng.random() < 0.1:
+            r["regional_strikes"] = rng.randrange(5)
+        if rng.random() < 0.06:
+            r["strikes"] = [strike(round(t - rng.uniform(0, 50 * HOUR), -3)) for _ in range(rng.randint(1, 2))]
+        out.append(r)
+    return out
+
+
+@pytest.mark.parametrize("block_s", [3600.0, 86400.0])
+def test_tier_maps_equal_the_plain_machine(spark, block_s):
+    cfg = tiers.TierConfig(max_continuous_hours_day=2.0)
+    nodes = {f"N{k}": wild_rows(k, 300) for k in range(12)}
+    df = inputs(spark, [dict(vsn=v, **r) for v, rs in nodes.items() for r in rs])
+    at = spark.createDataFrame([(v, 35.0, -119.0) for v in nodes], "vsn string, lat double, lon double")
+    got = {}
+    for r in tiers.tier_batch(df.repartition(7), at, cfg, block_s=block_s).collect():
+        got.setdefault(r.vsn, []).append((r.t, r.kind, r.detail, r.tier))
+    for v, rs in nodes.items():
+        assert sorted(got[v]) == sorted(plain_watch(rs, cfg))
+    assert {"guardrail", "action", "transition", "poll", "notify"} <= {k for rs in got.values() for _, k, *_ in rs}
+    assert tiers.tier_batch(df.limit(0), at, cfg).count() == 0
+
+
+def test_tier_stream_equals_batch_on_shuffled_micro_batches(spark, tmp_path):
+    df = inputs(spark, happy() + [dict(vsn="W2", **r) for r in wild_rows(3, 120)])
+    rows = sorted(df.collect(), key=lambda r: r.t)
+    random.Random(2).shuffle(rows)
+    for i in range(0, len(rows), 50):
+        spark.createDataFrame(rows[i:i + 50], df.schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    src = spark.readStream.schema(schemas.TIER_INPUT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    clock.open_clock(spark, str(tmp_path / "clock"), "t")
+    at = spark.createDataFrame([(v, 35.0, -119.0) for v in ("W1", "W2")], "vsn string, lat double, lon double")
+    # rows come in any order, so nothing may be late
+    out = tiers.tier_stream(clock.with_clock(src, str(tmp_path / "clock"), "t", "none"), at, lateness="5000 days", stretch_s=86400.0)
+    clock.run_to_end(spark, str(tmp_path / "clock"), lambda: out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start(), "t")
+    key = lambda d: sorted((r.vsn, r.t, r.kind, r.detail, r.tier, str(r.sectors)) for r in d.collect())
+    assert key(spark.read.parquet(str(tmp_path / "out"))) == key(tiers.tier_batch(df, at))
 
 
 def test_fusion_stream_equals_batch(spark, tmp_path):

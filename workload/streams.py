@@ -8,7 +8,7 @@ from stormlens.functions.timecols import micros
 from stormlens.session import ensure_checkpoint_dir
 from stormlens.functions.physics import sound_speed_ms
 from stormlens.streaming import clock, frames as fr, fusion, tiers
-from workload.base import DAY, EVENTS, events, query, r6, table
+from workload.base import DAY, EVENTS, events, planar, query, r6, table
 from workload.sequences import spike_sql
 
 
@@ -56,20 +56,73 @@ def _audit_columns(x):
     return x.select("vsn", "t", "kind", "detail", "tier", F.size("sectors").alias("n_sectors"))
 
 
-@query("tier_batch")
+# one row at a time: state after row rn of each node, and what the row did
+WATCH = f"""
+WITH RECURSIVE {EVENTS}, x AS (SELECT vsn, event_id, t / 1e6::DOUBLE AS t, name = 'signup' AS outlook, CASE WHEN name = 'click' THEN value * 4 END AS cell,
+  CASE WHEN name = 'error' THEN k % 6 ELSE 0 END AS strikes, name = 'view' AND value > 20 AS flash, name = 'purchase' AND value > 20 AS thunder, value, k FROM ev),
+y AS (SELECT *, coalesce(cell <= 100, false) OR strikes >= 3 AS near, flash OR thunder AS here, row_number() OVER (PARTITION BY vsn ORDER BY t, event_id) - 1 AS rn FROM x),
+m(vsn, rn, t, was, since0, active, tier, since, armed, used, day, log, newest, clr, off, arms, allowed) AS (
+  SELECT DISTINCT vsn, -1::BIGINT, 0::DOUBLE, NULL::INT, 0::DOUBLE, 0::DOUBLE, 0, 0::DOUBLE, NULL::DOUBLE, 0::DOUBLE, -1::BIGINT, false, NULL::DOUBLE, -1::BIGINT, false, false, false FROM y
+  UNION ALL
+  SELECT vsn, rn, t, CASE WHEN nt IS NOT NULL THEN tier END, since, active, coalesce(nt, tier), CASE WHEN nt IS NULL THEN since ELSE t END,
+    CASE WHEN arms AND used2 < 36000 THEN t WHEN NOT off THEN armed END, used2, CASE WHEN arms THEN floor(t / 86400)::BIGINT ELSE day END,
+    log AND NOT clears, CASE WHEN NOT clears THEN newest END, CASE WHEN clears THEN rn ELSE clr END, off, arms, arms AND used2 < 36000
+  FROM (SELECT *, CASE WHEN arms AND day <> floor(t / 86400) THEN 0 WHEN off THEN used + t - armed ELSE used END AS used2
+  FROM (SELECT *, coalesce(nt = 2 OR (tier = 4 AND nt = 3), false) AS arms, coalesce(tier = 4 AND nt < 2, false) AS clears,
+      armed IS NOT NULL AND coalesce(tier = 3 OR (tier = 2 AND nt < 2), false) AND nt IS NOT NULL AS off
+  FROM (SELECT *, CASE tier WHEN 0 THEN CASE WHEN near THEN 2 WHEN outlook THEN 1 END
+      WHEN 1 THEN CASE WHEN near THEN 2 WHEN NOT outlook AND t - since > 86400 THEN 0 END
+      WHEN 2 THEN CASE WHEN here THEN 3 WHEN t - active > 14400 THEN outlook::INT END
+      WHEN 3 THEN CASE WHEN (t - since) / 3600 >= 6 OR (t - active) / 60 >= 30 THEN CASE WHEN log THEN 4 ELSE outlook::INT END END
+      ELSE CASE WHEN here THEN 3 WHEN t - newest > 259200 THEN outlook::INT END END AS nt
+  FROM (SELECT m.vsn, y.rn, y.t, m.tier, m.since, CASE WHEN near OR here THEN y.t ELSE m.active END AS active, m.armed, m.used, m.day, m.log OR flash AS log,
+      greatest(m.newest, CASE WHEN flash THEN y.t END) AS newest, m.clr, y.near, y.here, y.outlook FROM m JOIN y ON y.vsn = m.vsn AND y.rn = m.rn + 1) z)))),
+names AS (SELECT unnest(['IDLE', 'OUTLOOK', 'APPROACH', 'STORM', 'AFTERMATH']) AS name, unnest(range(5)) AS n),
+logged AS (SELECT vsn, rn, t, 35.2::DOUBLE + k / 500.0::DOUBLE AS lat, -119.6::DOUBLE + k / 400.0::DOUBLE AS lon, CASE WHEN k % 2 = 0 THEN value END AS risk FROM y WHERE flash),
+watch AS (SELECT m.vsn, m.rn, count(DISTINCT (l.lat, l.lon, l.t, l.risk)) AS n_log, count(DISTINCT (l.lat, l.lon, l.t, l.risk)) FILTER (
+    m.t - l.t BETWEEN 0 AND 259200 AND {planar("c.lat", "c.lon", "l.lat", "l.lon")} <= 30) AS n_sectors
+  FROM m JOIN logged l ON l.vsn = m.vsn AND l.rn <= m.rn AND l.rn > m.clr LEFT JOIN (
+    SELECT c_custkey AS vsn, 35.2::DOUBLE + c_custkey % 50 / 1000.0::DOUBLE AS lat, -119.6::DOUBLE + c_custkey % 70 / 1000.0::DOUBLE AS lon FROM customer) c ON c.vsn = m.vsn
+  WHERE m.was = 3 AND m.tier = 4 GROUP BY 1, 2),
+d AS (SELECT m.*, a.name AS from_name, b.name AS to_name, n_log, n_sectors, CASE WHEN was = 0 AND m.tier = 2 THEN 'storm evidence from idle' WHEN was = 0 THEN 'elevated outlook'
+    WHEN was = 1 AND m.tier = 2 THEN 'approach evidence' WHEN was = 1 THEN 'outlook expired' WHEN was = 2 AND m.tier = 3 THEN 'first local flash/thunder'
+    WHEN was = 2 THEN 'approach timeout auto-revert' WHEN m.tier = 4 THEN 'storm quiet ' || format('{{:.0f}}', (m.t - active) / 60) || ' min; ' || n_log || ' strike(s) logged'
+    WHEN was = 3 THEN 'storm quiet, no localized strikes' WHEN m.tier = 3 THEN 'renewed local activity' ELSE 'aftermath complete' END AS why
+  FROM m JOIN names b ON b.n = m.tier LEFT JOIN names a ON a.n = m.was LEFT JOIN watch w ON w.vsn = m.vsn AND w.rn = m.rn WHERE m.rn >= 0),
+audit(vsn, t, kind, detail, tier, n_sectors) AS (
+  SELECT vsn, t, 'transition', from_name || ' -> ' || to_name || ': ' || why, tier, NULL::INT FROM d WHERE was IS NOT NULL
+  UNION ALL SELECT vsn, t, 'poll', to_name, tier, NULL FROM d WHERE was IS NOT NULL OR rn % 12 = 0
+  UNION ALL SELECT vsn, t, 'notify', 'storm-mode entered', tier, NULL FROM d WHERE was = 2 AND tier = 3
+  UNION ALL SELECT vsn, t, 'guardrail', 'approach timed out with no storm', was, NULL FROM d WHERE was = 2 AND tier < 2
+  UNION ALL SELECT vsn, t, 'guardrail', 'max storm hours (6.0) reached', was, NULL FROM d WHERE was = 3 AND (t - since0) / 3600 >= 6
+  UNION ALL SELECT vsn, t, 'guardrail', 'daily continuous-capture budget exhausted; NOT arming', tier, NULL FROM d WHERE arms AND NOT allowed
+  UNION ALL SELECT vsn, t, 'action', 'arm continuous capture', tier, NULL FROM d WHERE allowed
+  UNION ALL SELECT vsn, t, 'action', 'revert to baseline sampling', was, NULL FROM d WHERE off
+  UNION ALL SELECT vsn, t, 'action', 'stop holdover watch', was, NULL FROM d WHERE was = 4 AND tier < 2
+  UNION ALL SELECT vsn, t, 'action', 'start holdover watch: ' || n_sectors || ' sector(s), 72 h', tier, n_sectors::INT FROM d WHERE was = 3 AND tier = 4)
+"""
+
+
+@query("tier_batch", WATCH + " SELECT vsn, t, kind, detail, tier, n_sectors FROM audit")
 def tier_batch(spark, sf):
     return _audit_columns(tiers.tier_batch(_watch_inputs(events(spark, sf)), _watch_nodes(spark, sf)))
 
 
-@query("tier_stream")
+@query("tier_stream", WATCH + " SELECT vsn, t, kind, detail, tier, n_sectors FROM audit")
 def tier_stream(spark, sf):
     base, rows = _ended(spark, _watch_inputs(_stream(spark, sf)), time="t", kind="none")
-    x = tiers.tier_stream(rows, _watch_nodes(spark, sf))
+    x = tiers.tier_stream(rows, _watch_nodes(spark, sf), stretch_s=86400.0)
     _finish(spark, base, x.writeStream.format("parquet").option("path", base + "/out").outputMode("append"), "t")
     return _audit_columns(spark.read.parquet(base + "/out"))
 
 
-@query("replay_metrics")
+@query("replay_metrics", WATCH + """
+, f AS (SELECT vsn, min(t) / 1e6::DOUBLE AS first_t FROM ev WHERE name = 'view' AND value > 20 GROUP BY 1)
+SELECT vsn, coalesce(array_to_string(list_sort(list(DISTINCT regexp_extract(detail, '-> (\\w+):', 1)) FILTER (kind = 'transition')), ','), '') AS tiers,
+  round((any_value(first_t) - min(t) FILTER (kind = 'transition' AND regexp_extract(detail, '-> (\\w+):', 1) = 'APPROACH')) / 60, 3) AS lead_min,
+  count(*) FILTER (starts_with(detail, 'start holdover watch')) AS watches, coalesce(sum(n_sectors), 0)::BIGINT AS sectors_watched,
+  count(*) FILTER (kind = 'guardrail') AS guardrails, count(*) FILTER (kind NOT IN ('poll', 'notify')) AS audit_records
+FROM audit LEFT JOIN f USING (vsn) GROUP BY vsn""")
 def replay_metrics(spark, sf):
     e = events(spark, sf)
     audit = tiers.tier_batch(_watch_inputs(e), _watch_nodes(spark, sf))
