@@ -222,8 +222,9 @@ def test_plans_hold_the_histogram_exactly(h):
         for l in config:
             held[l] = held.get(l, 0) + n
     assert held == h
-    # no worse than first fit is guaranteed to be
-    assert sum(n for _, n in found) <= 1.7 * sum(l * n for l, n in h.items()) / 64 + 1
+    # no worse than first fit is guaranteed to be, against what no packing can go below
+    least = max(-(-sum(l * n for l, n in h.items()) // 64), sum(n for l, n in h.items() if l > 32))
+    assert sum(n for _, n in found) <= 1.7 * least + 1
 
 
 def test_plan_is_near_the_bound():
@@ -328,7 +329,15 @@ def test_toxicity_odd_rows(spark, odd, nothing):
     assert toxicity.score(nothing, model, {"doc_id": F.col("doc_id")}).count() == 0
 
 
-def test_swapped_identity_terms_do_not_move_the_score():
+def test_every_text_gives_pairs_and_whole_texts_are_learned_from():
+    assert len(toxicity.counterfactuals("One day. Some women sang.\nThe end.")) == 5 and toxicity.counterfactuals("") == []
+    (a, b), *_ = toxicity.counterfactuals("x " * 30_000 + "the gay man")
+    assert a.endswith("the gay man") and b.endswith("the straight girl")
+    only_a, only_b = toxicity.pair_features("the muslim boy", "the jewish boy")
+    assert len(only_a) and len(only_b) and not set(only_a) & set(toxicity.presence("the boy"))
+
+
+def test_swapped_identity_terms_do_not_move_the_score(spark):
     rng = random.Random(1)
     calm = "the garden grows well and many birds sing near river".split()
     texts, labels = [], []
@@ -344,7 +353,9 @@ def test_swapped_identity_terms_do_not_move_the_score():
     def score(model, s):
         b = np.frombuffer(s.encode(), np.uint8)
         return float(toxicity.Scorer(model).score(b, np.array([0, len(b)]))[0])
-    fair, plain = toxicity.train(texts, labels), toxicity.train(texts, labels, fairness=0.0)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    y = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    fair, plain = toxicity.learn(d, y, F.lit(True)), toxicity.learn(d, y, F.lit(True), fairness=0.0)
     neutral, none = "the garden and muslims sing well", "the garden and people sing well"
     assert score(plain, neutral) > 1.5 * score(plain, none)
     assert score(fair, neutral) < 1.1 * score(fair, none)
