@@ -60,6 +60,26 @@ def source_rates(docs: DataFrame, source_col: str = "source", weights: dict | No
     return size.select("__source", (F.lit(goal) * F.col("__w") / F.lit(weight or 1.0) / F.col("__n")).alias("__rate")), sources
 
 
+def _repeated(docs: DataFrame, source_col: str, id_col: str, weights: dict | None, temper: float, seed: str, total: int | None) -> DataFrame:
+    """(__row, __copies, __copy, __order): rows travel as one struct, so names of their columns cannot clash."""
+    rates, sources = source_rates(docs, source_col, weights, temper, total)
+    cdf = F.pandas_udf(_cdf, "struct<k0: int, cdf: array<double>>")
+    rates = rates.select("__source", cdf("__rate").alias("__p"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(source_col).alias("__of"), F.col(id_col).alias("__id"))
+    same = F.col("__of").eqNullSafe(F.col("__source"))
+    if sources <= BROADCAST_SOURCES:
+        drawn = rows.join(F.broadcast(rates), same)
+    else:
+        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        drawn = rows.withColumn("__salt_of", F.pmod(F.xxhash64("__id"), F.lit(SALTS)).cast("int")).join(
+            salted, same & (F.col("__salt_of") == F.col("__salt")))
+    drawn = drawn.withColumn("__u", uniform(seed, "__id")).withColumn(
+        "__copies", F.col("__p.k0") + F.expr("size(filter(__p.cdf, c -> c <= __u))")).where("__copies > 0")
+    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
+    copies = copies.withColumn("__order", F.substring(_hash(f"{seed} order", "__id", "__copy"), 1, 16))
+    return copies.select("__row", "__copies", "__copy", "__order").repartition("__order").sortWithinPartitions("__order")
+
+
 def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: dict | None = None,
         temper: float = TEMPER, seed: str = SEED, total: int | None = None) -> DataFrame:
     """`docs` with each row repeated a Poisson number of times, plus __copies, __copy and __order, shuffled globally.
@@ -68,22 +88,15 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", wei
     source, at a draw hashed from seed and id, so it is the same on every run and in every task. A
     hot source needs no gathering: its rate is one row. Copies are made before the shuffle and
     dealt by a hash of (seed, id, copy); within a partition they lie in the order of __order. Rows
-    that repeat an id get equal counts. A null id is drawn as the word null.
+    that repeat an id get equal counts. A null id is drawn as the word null. Columns of `docs` that are
+    called like one of the three are replaced; `repeat` keeps them.
     """
-    rates, sources = source_rates(docs, source_col, weights, temper, total)
-    cdf = F.pandas_udf(_cdf, "struct<k0: int, cdf: array<double>>")
-    rates = rates.select("__source", cdf("__rate").alias("__p"))
-    same = F.col(source_col).eqNullSafe(F.col("__source"))
-    if sources <= BROADCAST_SOURCES:
-        drawn = docs.join(F.broadcast(rates), same)
-    else:
-        salted = rates.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        drawn = docs.withColumn("__salt_of", F.pmod(F.xxhash64(id_col), F.lit(SALTS)).cast("int")).join(
-            salted, same & (F.col("__salt_of") == F.col("__salt"))).drop("__salt", "__salt_of")
-    u = uniform(seed, id_col)
-    drawn = drawn.withColumn("__u", u).withColumn(
-        "__copies", F.col("__p.k0") + F.expr("size(filter(__p.cdf, c -> c <= __u))")).where("__copies > 0")
-    copies = drawn.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)))
-    copies = copies.withColumn("__order", F.substring(_hash(f"{seed} order", id_col, "__copy"), 1, 16))
-    return copies.select(*[F.col(f"`{c}`") for c in docs.columns], "__copies", "__copy", "__order").repartition(
-        "__order").sortWithinPartitions("__order")
+    got = _repeated(docs, source_col, id_col, weights, temper, seed, total)
+    added = ["__copies", "__copy", "__order"]
+    return got.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
+
+
+def repeat(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", weights: dict | None = None,
+           temper: float = TEMPER, seed: str = SEED, total: int | None = None) -> DataFrame:
+    """As `mix`, with just the columns of `docs`."""
+    return _repeated(docs, source_col, id_col, weights, temper, seed, total).select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

@@ -239,10 +239,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of `docs` that are the smallest of their component; all columns stay.
 
-    Of rows that repeat an id, one stays. Rows with a null id stay all.
+    Of rows that repeat an id, the one least by a hash of all its columns stays (maps left out). Rows with a null id stay all;
+    no window or group gathers them, or the rows of a repeated id.
     """
     member = near_duplicates(docs, id_col, text_col, **how)
-    gone = member.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    left = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    copy = F.row_number().over(Window.partitionBy(id_col).orderBy(id_col))
-    return left.withColumn("__copy", copy).where(F.col(id_col).isNull() | (F.col("__copy") == 1)).drop("__copy")
+    row, key = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_col).alias("__id")
+    gone = member.where(F.col("component_id") < F.col(id_col)).select(key).distinct()
+    left = docs.select(row, key).join(gone, "__id", "left_anti")
+    again = cut(docs.select(key).where("__id is not null").groupBy("__id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id"))
+    hashed = F.xxhash64(*[F.col(f"__row.`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    # minima are combined where the rows lie, so a repeated id sends one row a task
+    one = left.join(again, "__id", "left_semi").groupBy("__id").agg(F.min_by("__row", hashed).alias("__row")).select("__row")
+    kept = left.join(again, "__id", "left_anti").select("__row").union(one)
+    return kept.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns])

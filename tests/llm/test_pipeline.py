@@ -4,7 +4,7 @@ import public_tokenizers
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from stormlens.llm import language, queries
+from stormlens.llm import language, mixing, queries, simhash
 from stormlens.llm.common import bucket_of
 from tests.llm import brute
 from tests.llm.test_documents import SF, docs, odd_rows
@@ -57,8 +57,20 @@ def test_stages_keep_the_columns_of_documents(spark, tmp_path):
         got.collect()
 
 
+def test_stages_take_columns_named_like_their_own(spark):
+    names = ["__gone", "__copy", "__copies", "__order", "__p", "__source", "__id", "__row", "__of", "__n", "__u"]
+    rows = [(1, "one two three four", "s", *names), (1, "another text of it", "s", *names), (None, "no id here", "t", *names), (None, "nor here", None, *names)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = simhash.keep_one(d)
+    assert kept.columns == d.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "None", "None"]
+    assert [tuple(r) for r in simhash.keep_one(d.repartition(3)).where("doc_id = 1").collect()] == [tuple(r) for r in kept.where("doc_id = 1").collect()]
+    got = mixing.repeat(d, total=40)
+    assert got.columns == d.columns and set(got.select(*names).distinct().collect()) == {tuple(names)}
+    assert len(mixing.mix(d).columns) == len(d.columns)
+
+
 def test_registered(spark):
     import __spark_entry__ as entry
     names = list(entry.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
