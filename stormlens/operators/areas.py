@@ -1,4 +1,4 @@
-"""Points against polygon areas, and exact nearest neighbours by a growing search radius.
+"""Points against polygon areas, and exact nearest neighbours through a pyramid of cells.
 
 Areas come as an edge table: area, x1, y1, x2, y2 in metres (any number of rings).
 """
@@ -9,12 +9,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormlens.functions import geo
-from stormlens.operators.joins import radius_join
+from stormlens.operators import pyramid
 from stormlens.session import cut
 
-WORLD_M = 4.1e7
-
-
 def _cell(c, size):
     return F.floor(c / F.lit(float(size))).cast("bigint")
 
@@ -58,87 +55,41 @@ def _segment_distance():
     return F.hypot(F.col("x") - F.col("x1") - t * dx, F.col("y") - F.col("y1") - t * dy)
 
 
-def _grow(points: DataFrame, point_id: str, find, start_r: float, limit: float, factor: float = 4.0) -> DataFrame:
-    """Run `find(points, r)` with growing r on the points not yet answered.
-
-    `find` returns exact answers for points that have a candidate within r, so the union
-    over rounds is exact; the number of rounds is log(limit / start_r) to the base `factor`.
-    """
-    todo, answers, r = points, None, start_r
-    while True:
-        found = cut(find(todo, r))
-        answers = found if answers is None else answers.unionByName(found)
-        if r > limit:
-            return answers
-        todo = cut(todo.join(found.select(point_id), point_id, "left_anti"))
-        if todo.isEmpty():
-            return answers
-        r *= factor
-
-
-def nearest_area(points: DataFrame, edges: DataFrame, point_id: str, area: str, *,
-                 start_m: float = 5_000.0, inside: DataFrame | None = None) -> DataFrame:
+def nearest_area(points: DataFrame, edges: DataFrame, point_id: str, area: str, *, inside: DataFrame | None = None) -> DataFrame:
     """Nearest area and distance in metres (0 inside); ties go to the smaller area id."""
     if inside is None:
         inside = point_in_area(points, edges, point_id, area)
     inside = cut(inside.groupBy(point_id).agg(F.min(area).alias("nearest_area"))
                  .withColumn("distance_m", F.lit(0.0)))
     outside = points.join(inside.select(point_id), point_id, "left_anti").select(point_id, "x", "y")
-
-    def find(p, r):
-        e = edges.select(area, "x1", "y1", "x2", "y2")
-        e = e.withColumn("__cx", _cells(F.least("x1", "x2") - r, F.greatest("x1", "x2") + r, r))
-        e = e.withColumn("__cy", _cells(F.least("y1", "y2") - r, F.greatest("y1", "y2") + r, r))
-        pc = p.withColumn("__cx", _cell(F.col("x"), r)).withColumn("__cy", _cell(F.col("y"), r))
-        d = pc.join(e, ["__cx", "__cy"]).withColumn("__d", _segment_distance()).where(F.col("__d") <= r)
-        best = F.min(F.struct("__d", area))
-        return d.groupBy(point_id).agg(best.alias("b")).select(
-            point_id, F.col("b")[area].alias("nearest_area"), F.col("b")["__d"].alias("distance_m"))
-
-    return inside.unionByName(_grow(cut(outside), point_id, find, start_m, WORLD_M))
-
-
-def nearest_point(left: DataFrame, right: DataFrame, left_id: str, right_id: str, *,
-                  left_ll=("lat", "lon"), right_ll=("t_lat", "t_lon"), start_km: float = 25.0,
-                  planar: bool = False) -> DataFrame:
-    """Nearest right row for each left row and its distance; ties go to the smaller id.
-
-    The planar metric has its cosine at the right row.
-    """
-    def find(p, r):
-        near = radius_join(p, right.select(right_id, *right_ll), r, point_ll=left_ll,
-                           target_ll=right_ll, planar=planar)
-        best = F.min(F.struct("dist_km", right_id))
-        return near.groupBy(left_id).agg(best.alias("b")).select(
-            left_id, F.col("b")[right_id].alias(right_id), F.col("b.dist_km").alias("dist_km"))
-
-    points = left.select(left_id, *left_ll).where(
-        F.col(left_ll[0]).isNotNull() & F.col(left_ll[1]).isNotNull())
-    return _grow(points, left_id, find, start_km, 20_100.0)
+    half = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) / 2
+    # an edge lies where its middle is, and reaches half its length from there
+    space = pyramid.euclidean([F.col("x"), F.col("y")], [(F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2], half)
+    pairs = pyramid.candidates(outside, edges.select(area, "x1", "y1", "x2", "y2"), point_id, 1, space)
+    best = pairs.withColumn("__d", _segment_distance()).groupBy(point_id).agg(F.min(F.struct("__d", area)).alias("b"))
+    return inside.unionByName(best.select(point_id, F.col("b")[area].alias("nearest_area"), F.col("b")["__d"].alias("distance_m")))
 
 
 def nearest_k(left: DataFrame, right: DataFrame, left_id: str, right_id: str, k: int, *,
-              left_ll=("lat", "lon"), right_ll=("t_lat", "t_lon"), start_km: float = 8.0) -> DataFrame:
-    """The k nearest right rows of each left row (rank 1..k by distance, then id).
+              left_ll=("lat", "lon"), right_ll=("t_lat", "t_lon"), planar: bool = False) -> DataFrame:
+    """The k nearest right rows of each left row (rank 1..k by distance, then id), all of them if there are fewer.
 
-    A left row is answered once k candidates lie within the search radius; if the right side
-    has fewer than k rows, all of them are returned.
+    The planar metric has its cosine at the right row. Of rows at one place only k are looked at.
     """
+    place = Window.partitionBy(*right_ll).orderBy(right_id)
+    rows = right.select(right_id, *right_ll).withColumn("__k", F.row_number().over(place)).where(F.col("__k") <= k).drop("__k")
+    space = (pyramid.flat_earth if planar else pyramid.sphere)(left_ll, right_ll)
+    pairs = pyramid.candidates(left.select(left_id, *left_ll), rows, left_id, k, space)
+    (la, lo), (ta, to) = ([F.col(c) for c in x] for x in (left_ll, right_ll))
+    d = (geo.planar_km if planar else geo.haversine_km)(ta, to, la, lo)
     w = Window.partitionBy(left_id).orderBy("dist_km", right_id)
-    enough = right.limit(k).count() >= k
-
-    def find(p, r):
-        near = radius_join(p, right.select(right_id, *right_ll), r, point_ll=left_ll, target_ll=right_ll)
-        near = cut(near.select(left_id, right_id, "dist_km")
-                   .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        if r > 20_100.0:
-            return near
-        full = near.where(F.col("rank") == k).select(left_id)
-        return near.join(full, left_id, "left_semi")
-
-    points = left.select(left_id, *left_ll).where(
-        F.col(left_ll[0]).isNotNull() & F.col(left_ll[1]).isNotNull())
-    return _grow(points, left_id, find, start_km if enough else 20_200.0, 20_100.0, factor=2)
+    return pairs.select(left_id, right_id, d.alias("dist_km")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def nearest_point(left: DataFrame, right: DataFrame, left_id: str, right_id: str, *,
+                  left_ll=("lat", "lon"), right_ll=("t_lat", "t_lon"), planar: bool = False) -> DataFrame:
+    """Nearest right row for each left row and its distance; ties go to the smaller id."""
+    return nearest_k(left, right, left_id, right_id, 1, left_ll=left_ll, right_ll=right_ll, planar=planar).drop("rank")
 
 
 def area_report(points_with_distance: DataFrame, limits_km=(1, 5, 10, 35)) -> DataFrame:

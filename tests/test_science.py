@@ -236,7 +236,7 @@ def test_components_and_polygon(spark):
     pts = spark.createDataFrame([(0, 10.0, 10.0), (1, 50.0, 50.0), (2, 150.0, 50.0)], "pid int, x double, y double")
     inside = {r.pid for r in point_in_area(pts, edges, "pid", "area", cell_m=30.0, band_m=7.0).collect()}
     assert inside == {0}
-    d = {r.pid: r.distance_m for r in nearest_area(pts, edges, "pid", "area", start_m=3.0).collect()}
+    d = {r.pid: r.distance_m for r in nearest_area(pts, edges, "pid", "area").collect()}
     assert d == {0: 0.0, 1: 10.0, 2: 50.0}
 
 

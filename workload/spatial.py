@@ -136,7 +136,7 @@ SELECT fire_id, arg_min(vsn, (d, vsn)) AS vsn, round(min(d) * 1000, 3) AS error_
 """)
 def nearest_truth_error(spark, sf):
     x = nearest_point(fires(spark, sf), nodes(spark, sf), "fire_id", "vsn",
-                      left_ll=("f_lat", "f_lon"), right_ll=("n_lat", "n_lon"), start_km=5.0, planar=True)
+                      left_ll=("f_lat", "f_lon"), right_ll=("n_lat", "n_lon"), planar=True)
     return x.select("fire_id", "vsn", F.round(F.col("dist_km") * 1000, 3).alias("error_m"))
 
 
@@ -211,7 +211,7 @@ best AS (SELECT pid, arg_min(area, (d, area)) AS nearest_area, min(d) AS d FROM
 WITH {NEAREST_AREA} SELECT pid, nearest_area, round(d, 4) AS distance_m FROM best
 """)
 def q_nearest_area(spark, sf):
-    x = nearest_area(_positions(spark, sf), _areas(spark, sf), "pid", "area", start_m=4000.0)
+    x = nearest_area(_positions(spark, sf), _areas(spark, sf), "pid", "area")
     return x.select("pid", "nearest_area", F.round("distance_m", 4).alias("distance_m"))
 
 
@@ -225,7 +225,7 @@ def area_distance_report(spark, sf):
     from stormlens.operators.areas import area_report
     from stormlens.operators.quantiles import exact_quantile
     from stormlens.session import cut
-    x = cut(nearest_area(_positions(spark, sf), _areas(spark, sf), "pid", "area", start_m=4000.0))
+    x = cut(nearest_area(_positions(spark, sf), _areas(spark, sf), "pid", "area"))
     med = exact_quantile(x, [], "distance_m", 0.5, "m")
     return area_report(x).withColumn("median_m", F.round(med.scalar(), 4))
 
