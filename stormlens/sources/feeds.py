@@ -85,9 +85,9 @@ def event_stream(spark: SparkSession, path: str, **options) -> DataFrame:
     return r.json(path).where(F.col("type").isNotNull())
 
 
-def ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(flashes, arrivals) of a ground-truth document with epochs and the node's position."""
-    d = spark.read.schema(schemas.GROUND_TRUTH).option("multiLine", "true").json(path)
+def ground_truth(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(flashes, arrivals) of ground-truth documents with epochs; one document a file, or a line."""
+    d = spark.read.schema(schemas.GROUND_TRUTH).option("multiLine", str(not lines).lower()).json(path)
     f = d.select("node", F.explode("glm_flashes").alias("f")).select(
         F.col("node.vsn").alias("vsn"), iso_epoch("f.time").alias("epoch"), "f.lat", "f.lon", "f.dist_node_km")
     a = d.select("node", F.explode("thunder_arrivals").alias("a")).select(

@@ -36,9 +36,11 @@ def test_catalog_end_to_end(spark, tmp_path):
     n = base.nodes(spark, DATA).withColumn("mic", F.col("nation") % 2 == 0).withColumn("first_day", F.lit(9496))
     paths = build_catalog(
         spark, str(tmp_path), nodes=n, fires=base.fires(spark, DATA), flashes=base.flashes(spark, DATA, good=False),
-        uploads=base.uploads(spark, DATA), rain=base.rain(spark, DATA), min_storm_flashes=2, dry_mm=100.0)
+        uploads=base.uploads(spark, DATA), rain=base.rain(spark, DATA), min_storm_flashes=2, dry_mm=100.0, natural="building")
     rows = {k: spark.read.parquet(p).count() for k, p in paths.items()}
-    assert len(rows) == 14 and all(rows.values()), rows
+    assert len(rows) == 16 and all(rows.values()), rows
+    natural = spark.read.parquet(paths["fires_natural"])
+    assert {r.cause.lower() for r in natural.select("cause").distinct().collect()} == {"building"} and natural.count() < rows["fires_all"]
     best = spark.read.parquet(paths["study_candidates"]).orderBy(F.desc("study_score")).first()
     assert 0 < best.study_score <= 1 and best.n_flashes > 0
 

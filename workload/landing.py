@@ -124,17 +124,15 @@ WITH {EVENTS} SELECT vsn::VARCHAR AS vsn, 'flash' AS kind, t // 1000000 AS s, va
 UNION ALL SELECT vsn::VARCHAR, 'arrival', t // 1000000, value FROM ev WHERE name = 'purchase'
 """)
 def truth_anchors(spark, sf):
-    """Ground-truth documents, one per node, with ISO times."""
+    """Ground-truth documents, one per node and six hours, with ISO times."""
     iso = F.date_format(F.timestamp_seconds(F.floor(F.col("t") / 1e6)), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     e = events(spark, sf)
     flash = F.when(F.col("name") == "view", F.struct(iso.alias("time"), F.lit(35.0).alias("lat"), F.lit(-119.0).alias("lon"), F.col("value").alias("dist_node_km")))
     arrival = F.when(F.col("name") == "purchase", F.struct(iso.alias("time"), F.col("value").alias("range_km"), F.lit(9.0).alias("snr")))
     path = _folder(spark, "truth")
-    d = e.groupBy("vsn").agg(F.collect_list(flash).alias("glm_flashes"), F.collect_list(arrival).alias("thunder_arrivals"))
-    # one line is one document here: the reader takes an array of them per file
-    docs = d.select(F.struct(F.struct(F.col("vsn").cast("string").alias("vsn")).alias("node"), "glm_flashes", "thunder_arrivals").alias("d"), (F.col("vsn") % 16).alias("page"))
-    docs.groupBy("page").agg(F.to_json(F.collect_list("d")).alias("value")).write.partitionBy("page").text(path)
-    f, a = feeds.ground_truth(spark, path)
+    d = e.groupBy("vsn", F.floor(F.col("t") / (6 * HOUR))).agg(F.collect_list(flash).alias("glm_flashes"), F.collect_list(arrival).alias("thunder_arrivals"))
+    d.select(F.to_json(F.struct(F.struct(F.col("vsn").cast("string").alias("vsn")).alias("node"), "glm_flashes", "thunder_arrivals")).alias("value")).write.text(path)
+    f, a = feeds.ground_truth(spark, path, lines=True)
     near = feeds.near_anchors(f).select("vsn", F.lit("flash").alias("kind"), F.col("anchor_t").cast("bigint").alias("s"), F.col("range_km").alias("km"))
     return near.unionByName(a.select("vsn", F.lit("arrival").alias("kind"), F.col("epoch").cast("bigint").alias("s"), F.col("range_km").alias("km")))
 
@@ -153,14 +151,15 @@ def clock_times(spark, sf):
 
 
 @query("lightning_response", f"""
-WITH {EVENTS} SELECT vsn, t / 1e6 AS epoch, min(value) OVER (PARTITION BY vsn) AS nearest_km FROM ev
+WITH {EVENTS} SELECT vsn, t / 1e6 AS epoch, min(value) OVER (PARTITION BY vsn, t // {6 * HOUR}) AS nearest_km FROM ev
 """)
 def lightning_response(spark, sf):
+    """One response a node and six hours."""
     e = events(spark, sf)
     stamp, nested = (F.col("t") / 1e6).alias("timestamp"), F.col("k") % 2 == 0
     item = F.struct(F.when(nested, F.struct(stamp)).alias("ob"), F.when(~nested, F.col("t") / 1e6).alias("timestamp"))
     cell = F.struct(F.when(nested, F.struct(F.col("value").alias("distanceKM"))).alias("ob"), F.when(~nested, F.col("value")).alias("distanceKM"))
-    d = e.groupBy("vsn").agg(F.to_json(F.struct(F.collect_list(item).alias("response"))).alias("body"), F.collect_list(cell).alias("cells"))
+    d = e.groupBy("vsn", F.floor(F.col("t") / (6 * HOUR))).agg(F.to_json(F.struct(F.collect_list(item).alias("response"))).alias("body"), F.collect_list(cell).alias("cells"))
     x = feeds.lightning_epochs(d.withColumn("nearest_km", feeds.nearest_cell_km("cells")).drop("cells"), "body")
     return x.select("vsn", "epoch", "nearest_km")
 
@@ -191,7 +190,7 @@ SELECT s.t / 1e6 AS t_strike, count(n.vsn) AS n_nodes, round(min(n_lat), 3) AS l
 def strike_documents(spark, sf):
     path = _folder(spark, "strikes")
     at = nodes(spark, sf).select("vsn", F.col("n_lat").alias("lat"), F.col("n_lon").alias("lon"))
-    one = _strikes(spark, sf).groupBy("t_strike").agg(F.first("ranges").alias("ranges"))
+    one = _strikes(spark, sf).groupBy("t_strike").agg(F.min("ranges").alias("ranges"))
     tables.write_documents(tables.strike_documents(one, at), path)
     x = spark.read.schema("t_strike double, nodes array<struct<vsn:bigint,lat:double,lon:double>>").json(path)
     lat = F.array_min(F.transform("nodes", lambda n: n["lat"]))
