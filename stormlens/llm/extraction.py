@@ -92,6 +92,7 @@ class Reader:
     def blocks(self, page: str) -> list[Block]:
         out: list[Block] = []
         stack: list[tuple[str, tuple[str, ...]]] = [("", ())]
+        standing = Counter()  # tags in the stack
         parts: list[str] = []
         linked, in_link, loose, at, size = 0, False, False, 0, len(page)
         # place in the stack of the outermost excluded element that is open; inline elements open in and before it
@@ -115,10 +116,22 @@ class Reader:
                 parts.clear()
             linked = 0
 
+        def drop(k):
+            for gone, _ in stack[k:]:
+                standing[gone] -= 1
+            del stack[k:]
+
+        def push(opened, way):
+            standing[opened] += 1
+            stack.append((opened, way))
+
         def close(tags, scope):
+            # an end tag of nothing that is open costs no walk
+            if not any(standing[x] for x in tags):
+                return
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k][0] in tags:
-                    del stack[k:]
+                    drop(k)
                     return
                 if stack[k][0] in scope:
                     return
@@ -160,22 +173,22 @@ class Reader:
             foreign = stack[-1][0] in FOREIGN
             if foreign and not end and tag in _BREAKOUT:
                 while len(stack) > 1 and stack[-1][0] in FOREIGN:
-                    stack.pop()
+                    drop(len(stack) - 1)
                 light()
                 foreign = False
             if tag in RAW and not end and not foreign:
                 stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>?", re.I).search(page, at)
                 at = stop.end() if stop else size
             elif tag in EXCLUDED or tag in _INTEGRATION and dark:
-                if end:
+                if end and standing[tag]:
                     for k in range(len(stack) - 1, dark - 1 if dark else len(stack) - 1, -1):
                         if stack[k][0] == tag:
-                            del stack[k:]
+                            drop(k)
                             light()
                             break
-                elif not (attrs.endswith("/") and (foreign or tag in FOREIGN)):
+                elif not end and not (attrs.endswith("/") and (foreign or tag in FOREIGN)):
                     dark = dark or len(stack)
-                    stack.append((tag, stack[-1][1]))
+                    push(tag, stack[-1][1])
             elif tag in BLOCKS:
                 # inside an excluded element, what was read before it stays open
                 path = stack[dark - 1][1] if dark else None
@@ -192,7 +205,7 @@ class Reader:
                 if light() and was:
                     flush(path)
                 if not end and tag not in VOID:
-                    stack.append((tag, stack[-1][1] if dark else self._path(stack[-1][1], tag, attrs.rstrip("/"))))
+                    push(tag, stack[-1][1] if dark else self._path(stack[-1][1], tag, attrs.rstrip("/")))
             elif tag == "br" or tag in VOID:
                 if not dark:
                     parts.append(" ")
@@ -206,7 +219,7 @@ class Reader:
             elif not dark or outer[tag]:
                 # the end of an inline parent ends the excluded element
                 if dark:
-                    del stack[dark:]
+                    drop(dark)
                     light()
                 outer[tag] -= outer[tag] > 0
                 if tag == "a":

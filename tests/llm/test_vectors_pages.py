@@ -187,3 +187,14 @@ def test_odd_rows(spark, net):
         by.setdefault(r.page_id, []).append((r.text, r.n_chars))
     assert by[1] == [("", 0)] and by[2] == [("", 0)] * 2 and by[None] == [("Some text.", 10)] and by[3][0][0].count("\n") == 4999
     assert extraction.extract(pages.limit(0), net=net).count() == 0
+
+
+def test_stray_end_tags_in_a_deep_page_cost_no_walk():
+    import time
+    took = []
+    for n in (4_000, 16_000):
+        page = "<div>" * n + "</section>" * n + "<p>The end.</p>"
+        t0 = time.process_time()
+        assert [b.text for b in extraction.Reader().blocks(page)] == ["The end."]
+        took.append(time.process_time() - t0)
+    assert took[1] < 8 * took[0] + 0.5
