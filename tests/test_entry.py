@@ -25,6 +25,7 @@ def test_package_is_shipped(spark, tmp_path, monkeypatch):
     from stormlens import session
     sent = []
     monkeypatch.setattr(spark.sparkContext, "addPyFile", sent.append)
+    monkeypatch.setattr(spark, "_stormlens_shipped", False, raising=False)
     session.ship(spark)
     session.ship(spark)
     assert len(sent) == 1 and "stormlens/session.py" in zipfile.ZipFile(sent[0]).namelist()
