@@ -56,6 +56,9 @@ def _audit_columns(x):
     return x.select("vsn", "t", "kind", "detail", "tier", F.size("sectors").alias("n_sectors"))
 
 
+#: The table has a few rows a node and day; three days are one block.
+WATCH_BLOCK_S = 3 * 86400.0
+
 # one row at a time: state after row rn of each node, and what the row did
 WATCH = f"""
 WITH RECURSIVE {EVENTS}, x AS (SELECT vsn, event_id, t / 1e6::DOUBLE AS t, name = 'signup' AS outlook, CASE WHEN name = 'click' THEN value * 4 END AS cell,
@@ -105,7 +108,7 @@ audit(vsn, t, kind, detail, tier, n_sectors) AS (
 
 @query("tier_batch", WATCH + " SELECT vsn, t, kind, detail, tier, n_sectors FROM audit")
 def tier_batch(spark, sf):
-    return _audit_columns(tiers.tier_batch(_watch_inputs(events(spark, sf)), _watch_nodes(spark, sf)))
+    return _audit_columns(tiers.tier_batch(_watch_inputs(events(spark, sf)), _watch_nodes(spark, sf), block_s=WATCH_BLOCK_S))
 
 
 @query("tier_stream", WATCH + " SELECT vsn, t, kind, detail, tier, n_sectors FROM audit")
@@ -125,7 +128,7 @@ SELECT vsn, coalesce(array_to_string(list_sort(list(DISTINCT regexp_extract(deta
 FROM audit LEFT JOIN f USING (vsn) GROUP BY vsn""")
 def replay_metrics(spark, sf):
     e = events(spark, sf)
-    audit = tiers.tier_batch(_watch_inputs(e), _watch_nodes(spark, sf))
+    audit = tiers.tier_batch(_watch_inputs(e), _watch_nodes(spark, sf), block_s=WATCH_BLOCK_S)
     first = e.where("name = 'view' and value > 20").groupBy("vsn").agg((F.min("t") / 1e6).alias("first_t"))
     x = tiers.replay_metrics(audit, first)
     return x.select("vsn", F.array_join("tiers", ",").alias("tiers"), F.round("lead_min", 3).alias("lead_min"), "watches",
