@@ -95,7 +95,7 @@ def candidates(points: DataFrame, right: DataFrame, point_id: str, k: int, space
         nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema]
         return p.drop(*here).limit(0).select("*", *nothing)
     side = max(max(b - a for a, b in zip(lo, hi)), 1e-9) * (1 + 1e-6)
-    levels = min(MAX_LEVELS, 1 + max(1, math.ceil(math.log(max(1.0, n / AIM), FAN * FAN))))
+    levels = min(MAX_LEVELS, max(1, math.ceil(math.log(max(1.0, n / AIM), FAN * FAN))))
 
     def cell(level):
         return [F.floor((F.col(c) - F.lit(a)) / F.lit(side / FAN ** level)).cast("long") for c, a in zip(there, lo)]
