@@ -86,7 +86,7 @@ def candidates(points: DataFrame, right: DataFrame, point_id: str, k: int, space
     """
     dims = range(len(space.point))
     here, there = [f"__p{d}" for d in dims], [f"__r{d}" for d in dims]
-    p = points.select("*", *[c.alias(n) for c, n in zip(space.point, here)]).dropna(subset=here)
+    p = cut(points.select("*", *[c.alias(n) for c, n in zip(space.point, here)]).dropna(subset=here))
     r = right.select("*", *[c.alias(n) for c, n in zip(space.right, there)], space.reach.alias("__reach")).dropna(subset=there)
     r = cut(r)
     bounds = r.agg(F.count(F.lit(1)), *[f(n) for n in there for f in (F.min, F.max)]).first()
