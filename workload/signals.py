@@ -196,8 +196,10 @@ def multilaterate(spark, sf):
     # ranges are exact, so a solution is the fire, or its mirror image where the nodes lie on a line
     every = F.concat(F.array(F.array("x", "y")), "alternates")
     near = F.array_min(F.transform(every, lambda p: F.struct(F.hypot(p[0] - F.col("fx"), p[1] - F.col("fy")).alias("d"), p.alias("p"))))["p"]
-    # to tens of metres: on a line of nodes the solution is only that good
-    return sol.select("fire_id", "n", F.floor(near[0] / 10 + 0.5).alias("x_dam"), F.floor(near[1] / 10 + 0.5).alias("y_dam"))
+    # to tens of metres: on a line of nodes the solution is only that good. Elsewhere it is good to micrometres, and a fire that
+    # lies on the edge between two of them is told by its position, not by the solver's last bits
+    dam = lambda v: F.floor(F.round(v, 5) / 10 + 0.5)
+    return sol.select("fire_id", "n", dam(near[0]).alias("x_dam"), dam(near[1]).alias("y_dam"))
 
 
 @query("nearest_six_nodes", f"""
