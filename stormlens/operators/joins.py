@@ -97,6 +97,33 @@ def radius_join(
             .drop("__ci", "__cj", "__tb", "__salt"))
 
 
+#: Key columns of radius_groups.
+CELL = ["__ci", "__cj", "__part"]
+
+
+def radius_groups(points: DataFrame, targets: DataFrame, radius_km: float, *, part: str, parts: int = 16,
+                  point_ll: tuple[str, str] = ("lat", "lon"), target_ll: tuple[str, str] = ("t_lat", "t_lon"),
+                  out: str = "dist_km") -> DataFrame:
+    """The rows of radius_join for grouping by target and `part`, an integer column of the points.
+
+    The points are copied into the cells around them and a target stays in its own, so all rows of a target and `part`
+    arise in one task. Group by CELL too, which both determine, and the pairs are never shuffled.
+    """
+    n_cells = max(1, int(360.0 / max(radius_km / geo.BOX_KM_PER_DEG_LAT, 1e-6)))
+    size = 360.0 / n_cells
+    (plat, plon), (tlat, tlon) = ([F.col(c) for c in x] for x in (point_ll, target_ll))
+    half_lat, half_lon = _half_widths(plat, F.lit(radius_km))
+    j_lo = _bucket(plon - half_lon, size)
+    j_hi = F.least(_bucket(plon + half_lon, size), j_lo + n_cells - 1)
+    p = points.withColumn("__part", F.pmod(F.col(part), F.lit(parts)).cast("int")).withColumn(
+        "__ci", _buckets(plat - half_lat, plat + half_lat, size)).withColumn(
+        "__cj", F.explode(F.transform(F.sequence(j_lo, j_hi), lambda j: F.pmod(j, F.lit(n_cells)))))
+    t = targets.withColumn("__ci", _bucket(tlat, size)).withColumn("__cj", F.pmod(_bucket(tlon, size), F.lit(n_cells))).withColumn(
+        "__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    near = p.join(t.hint("merge"), CELL).withColumn(out, geo.haversine_km(tlat, tlon, plat, plon))
+    return near.where(F.col(out) <= radius_km)
+
+
 def box_gate(points: DataFrame, targets: DataFrame, radius, *,
              point_ll: tuple[str, str] = ("lat", "lon"),
              target_ll: tuple[str, str] = ("t_lat", "t_lon")) -> DataFrame:
