@@ -160,7 +160,9 @@ def map_sorted_groups(df: DataFrame, keys: list[str], order: list[str],
         if held:
             yield fn(pd.concat(held, ignore_index=True), np.array([], dtype=int))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    # dealt by a hash of the keys: a shuffle by the keys themselves is left out after a join on them, and what the join
+    # reads then may be cut anew (a broadcast found at run time, a skewed partition), which parts a group's rows
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def _last_start(k: pd.DataFrame) -> int:
