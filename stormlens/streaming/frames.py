@@ -1,12 +1,14 @@
 """Frame streams: rows of complete windows, spikes per node and window, and window counters.
 
-A window's frames are kept as state rows under (node, window, part), so a busy node is spread over several keys and no
-array of frames is built; all parts of a window come out in the micro-batch whose watermark passes its end.
+A window's frames are kept as state rows under (window, part), where a part is a share of all its frames whatever their node: a
+busy node is spread over the parts, many quiet ones share them, and no array of frames is built; all parts of a window come out in
+the micro-batch whose watermark passes its end.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,33 +19,34 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from stormlens.operators.sequence import robust_spikes
 from stormlens.streaming.tiers import ROCKSDB
 
-#: Keys a node's window is spread over; more of them suit windows much longer than a minute.
-PARTS = 1
+#: Keys a window is spread over, and rows of a key that are given out at once.
+PARTS, AT_ONCE = 64, 10_000
 
 
 class OpenWindow(StatefulProcessor):
-    """Frames of one part of a node's window until its end."""
+    """Frames of one part of a window until its end."""
 
     def __init__(self, seconds: float, vsn_type: str):
         self.seconds, self.vsn_type = seconds, vsn_type
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.frames = handle.getListState("frames", "t double, luma double")
+        self.frames = handle.getListState("frames", f"vsn {self.vsn_type}, t double, luma double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if not self.frames.exists():
-            self.handle.registerTimer(int((key[1] + 1) * self.seconds * 1000))
+            self.handle.registerTimer(int((key[0] + 1) * self.seconds * 1000))
         for pdf in rows:
-            self.frames.appendList(list(zip(pdf["t"].to_numpy(float).tolist(), pdf["luma"].to_numpy(float).tolist())))
+            self.frames.appendList(list(zip(pdf["vsn"].tolist(), pdf["t"].to_numpy(float).tolist(), pdf["luma"].to_numpy(float).tolist())))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out = pd.DataFrame(list(self.frames.get()), columns=["t", "luma"], dtype=float)
+        kept = self.frames.get()
+        while some := list(islice(kept, AT_ONCE)):
+            vsn, t, luma = zip(*some)
+            yield pd.DataFrame({"vsn": pd.Series(vsn, dtype=object if self.vsn_type == "string" else None),
+                                "batch_start": float(key[0] * self.seconds), "t": pd.Series(t, dtype=float), "luma": pd.Series(luma, dtype=float)})
         self.frames.clear()
-        out.insert(0, "batch_start", float(key[1] * self.seconds))
-        out.insert(0, "vsn", pd.Series([key[0]] * len(out), dtype=object if self.vsn_type == "string" else None))
-        yield out
 
     def close(self) -> None:
         pass
@@ -62,8 +65,8 @@ def frame_batches(frames: DataFrame, *, seconds: float = 60, lateness: str = "30
     x = frames.select("vsn", "t", "luma", F.timestamp_micros((F.col("t") * 1e6).cast("bigint")).alias("ts")).withWatermark("ts", lateness)
     # the condition names the time, so that it is not moved below the watermark
     x = x.where(F.col("vsn").isNotNull() == F.col("ts").isNotNull())
-    x = x.withColumn("window", window).withColumn("part", F.pmod(F.xxhash64("t", "luma"), F.lit(parts)))
-    return x.groupBy("vsn", "window", "part").transformWithStateInPandas(
+    x = x.withColumn("window", window).withColumn("part", F.pmod(F.xxhash64("vsn", "t", "luma"), F.lit(parts)))
+    return x.groupBy("window", "part").transformWithStateInPandas(
         statefulProcessor=OpenWindow(float(seconds), vsn), outputMode="Append", timeMode="EventTime",
         outputStructType=T.StructType.fromDDL(f"vsn {vsn}, batch_start double, t double, luma double"))
 

@@ -163,14 +163,14 @@ def fusion_stream(spark, sf):
         F.round(F.array_max(km), 3).alias("farthest_km"), F.round(F.aggregate(km, F.lit(0.0), lambda a, k: a + k), 3).alias("sum_km"))
 
 
-def _frame_windows(spark, sf, seconds, handle, parts=1):
+def _frame_windows(spark, sf, seconds, handle):
     """Run the frame job over the event table; `handle(rows)` is written for each micro-batch, which replaces itself if repeated."""
     f = _stream(spark, sf).select("vsn", (F.col("t") / 1e6).alias("t"), F.col("value").alias("luma"))
     base, f = _ended(spark, f, time="t", kind="none")
 
     def write(batch, batch_id):
         handle(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-    _finish(spark, base, fr.frame_batches(f, seconds=seconds, parts=parts).writeStream.foreachBatch(write).outputMode("append"), "t")
+    _finish(spark, base, fr.frame_batches(f, seconds=seconds).writeStream.foreachBatch(write).outputMode("append"), "t")
     return spark.read.parquet(base + "/out").drop("batch")
 
 
@@ -186,5 +186,5 @@ def frame_batches(spark, sf):
                                  f"t // {7 * DAY} AS week", "vsn, week"))
 def spike_stream(spark, sf):
     """Spikes of the streaming job; a week of the table is one batch."""
-    got = _frame_windows(spark, sf, 604800, lambda b: fr.batch_spikes(b, seconds=604800), parts=2)
+    got = _frame_windows(spark, sf, 604800, lambda b: fr.batch_spikes(b, seconds=604800))
     return got.select("vsn", "batch_start", "t", r6("rise").alias("rise"), F.round("z", 4).alias("z"))
