@@ -80,6 +80,12 @@ def pivot_days(cov: DataFrame) -> DataFrame:
     return cov.groupBy("vsn", "day").agg(*sums)
 
 
+def pivot_uploads(uploads: DataFrame, time: str = "t", as_of_day: int | None = None) -> DataFrame:
+    """pivot_days of the coverage of raw rows, counted at once: there is no row per task in between."""
+    rows = uploads.select("vsn", "task", day_no(time).alias("day"), F.lit(1).cast("bigint").alias("n_uploads"))
+    return pivot_days(classify(clean_daily(rows, as_of_day)))
+
+
 def inventory(nodes: DataFrame, cov: DataFrame, first: DataFrame) -> DataFrame:
     """Nodes with deployment start and media and capture totals."""
     t = cov.groupBy("vsn").agg(
