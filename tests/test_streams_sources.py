@@ -361,3 +361,79 @@ def test_explosion_guard(spark):
     b = spark.createDataFrame(fine + blown, "vsn string, task string, t bigint, value bigint")
     got = sorted((r.task, r.day, r.n_uploads) for r in coverage.daily_with_guard(b, raw).collect())
     assert got == [("a", 0, 5), ("a", 1, 5), ("b", 1, 3)]
+
+
+class Kept:
+    """State of one key, held in memory, that counts what it is asked."""
+
+    asked = 0
+
+    def __init__(self):
+        self.rows = {}
+
+    def _ask(self):
+        Kept.asked += 1
+        return self.rows
+
+    def exists(self):
+        return () in self._ask()
+
+    def get(self):
+        return self._ask()[()]
+
+    def update(self, value):
+        self._ask()[()] = value
+
+    def containsKey(self, key):
+        return key in self._ask()
+
+    def getValue(self, key):
+        return self._ask()[key]
+
+    def updateValue(self, key, value):
+        self._ask()[key] = value
+
+    def removeKey(self, key):
+        del self._ask()[key]
+
+
+class Expired:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getExpiryTimeInMs(self):
+        return self.ms
+
+
+def test_nodes_of_a_share_are_settled_together(spark):
+    """A stretch is one timer and a few reads and writes of state however many nodes it has, and gives what the batch job gives."""
+    cfg = tiers.TierConfig(max_continuous_hours_day=2.0)
+    df = inputs(spark, [dict(vsn=f"N{k}", **r) for k in range(40) for r in wild_rows(100 + k, 60)])
+    at = spark.createDataFrame([(f"N{k}", 35.0, -119.0) for k in range(39)], "vsn string, lat double, lon double")
+    rows = tiers.prepared(df, cfg).join(at.select("vsn", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon")), "vsn", "left").withColumn(
+        "ts", F.timestamp_seconds("t")).withColumn("share", F.lit(0)).toPandas().sample(frac=1.0, random_state=1)
+    timers, states = [], []
+
+    class Handle:
+        def getMapState(self, *_):
+            states.append(Kept())
+            return states[-1]
+        getValueState = getMapState
+
+        def registerTimer(self, ms):
+            timers.append(ms)
+    p = tiers.TierProcessor(cfg, 86400.0, "string")
+    p.init(Handle())
+    Kept.asked = 0
+    for k in range(0, len(rows), 500):
+        assert not list(p.handleInputRows((0,), iter([rows.iloc[k:k + 500]]), None))
+    parts = sum(n for (n,) in p.arrived.rows.values())
+    assert len(timers) == len(set(timers)) == rows["t"].floordiv(86400).nunique() and Kept.asked <= 4 * parts
+    got = [r for ms in sorted(timers) for out in p.handleExpiredTimer((0,), None, Expired(ms)) for r in out.itertuples(index=False)]
+    want = tiers.tier_batch(df, at, cfg).collect()
+    key = lambda rs: sorted(str((r.vsn, r.t, r.kind, r.detail, r.tier, None if r.sectors is None else [dict(s.asDict() if hasattr(s, "asDict") else s) for s in r.sectors])) for r in rs)
+    assert key(got) == key(want)
+    assert any(r.sectors is not None and len(r.sectors) > 0 for r in want) and any("stop holdover" in r.detail for r in want)
+    struck = int((rows["strikes"].map(len) > 0).sum())
+    watches = sum(r.detail.startswith("start holdover") for r in want)
+    assert Kept.asked <= 8 * parts + 3 * struck + 60 * watches
