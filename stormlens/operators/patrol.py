@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormlens.functions import geo
 from stormlens.operators.joins import radius_join
+from stormlens.operators.reach import radius_first
 
 # Watch window, camera range, floor and ceiling of the recency ramp.
 MAX_AGE_H = 72.0
@@ -22,16 +23,36 @@ def watch_sectors(strikes: DataFrame, nodes: DataFrame, node: str, lat: str, lon
     `strikes` has lat, lon, `time`, `now` and a nullable risk; an unscored strike gets a
     recency ramp capped at 50. Both gates are inclusive.
     """
-    age = (F.col(now) - F.col(time)) / F.lit(float(unit_per_hour))
-    fresh = strikes.withColumn("__age", age).where(F.col("__age").between(0.0, max_age_h))
+    fresh, risk = _fresh(strikes, time, now, unit_per_hour, max_age_h)
     pairs = radius_join(fresh, nodes.select(node, lat, lon), max_range_km, point_ll=("lat", "lon"),
                         target_ll=(lat, lon), out="__km", planar=True)
-    ramp = F.greatest(F.lit(RAMP_FLOOR), F.lit(RAMP_TOP) * (F.lit(1.0) - F.col("__age") / max_age_h))
     return pairs.select(
         node, *[c for c in strikes.columns if c != "risk"],
         F.round(geo.bearing_deg(lat, lon, "lat", "lon"), 1).alias("bearing_deg"),
         F.round("__km", 2).alias("range_km"), F.round("__age", 1).alias("age_h"),
-        F.round(F.coalesce(F.col("risk"), ramp), 1).alias("risk"))
+        risk)
+
+
+def _fresh(strikes: DataFrame, time: str, now: str, unit_per_hour, max_age_h: float) -> tuple[DataFrame, Column]:
+    """Strikes young enough, with their age in hours (`__age`), and the risk they are shown with."""
+    age = (F.col(now) - F.col(time)) / F.lit(float(unit_per_hour))
+    ramp = F.greatest(F.lit(RAMP_FLOOR), F.lit(RAMP_TOP) * (F.lit(1.0) - F.col("__age") / max_age_h))
+    return (strikes.withColumn("__age", age).where(F.col("__age").between(0.0, max_age_h)),
+            F.round(F.coalesce(F.col("risk"), ramp), 1).alias("risk"))
+
+
+def top_sectors(strikes: DataFrame, nodes: DataFrame, node: str, lat: str, lon: str, strike: str, k: int = 5, *,
+                time: str, now: str, unit_per_hour=3600.0, max_age_h: float = MAX_AGE_H,
+                max_range_km: float = MAX_RANGE_KM) -> DataFrame:
+    """The `k` riskiest watch sectors of each node, then the youngest, then by `strike` (an id): node, strike, age_h, risk.
+
+    Those of `watch_sectors`, whose pairs are not listed.
+    """
+    fresh, risk = _fresh(strikes, time, now, unit_per_hour, max_age_h)
+    fresh = fresh.select(strike, "lat", "lon", F.round("__age", 1).alias("age_h"), risk)
+    x = radius_first(fresh, nodes.select(node, F.col(lat).alias("__n_lat"), F.col(lon).alias("__n_lon")), [node], max_range_km, k,
+                     [F.desc("risk"), F.asc("age_h"), F.asc(strike)], target_ll=("__n_lat", "__n_lon"))
+    return x.select(node, strike, "age_h", "risk")
 
 
 def revisit_schedule(sectors: DataFrame, revisit_min: int = 20, hours: int = 72) -> DataFrame:

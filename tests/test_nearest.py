@@ -3,11 +3,14 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from stormlens.operators import pyramid
 from stormlens.operators.areas import nearest_area, nearest_k, nearest_point
+from tests.conftest import DATA
 
 
 def haversine(a, b, c, d):
@@ -82,3 +85,33 @@ def test_nearest_area_of_long_and_short_edges(spark):
     nobody = p.limit(0).select("pid", F.lit("").alias("area"))
     got = {r.pid: (r.nearest_area, round(r.distance_m, 6)) for r in nearest_area(p, e, "pid", "area", inside=nobody).collect()}
     assert got == {k: (best[1], round(best[0], 6)) for k, x, y in points for best in [min((distance(x, y, *z), a) for a, *z in edges)]}
+
+
+def test_first_in_reach_equal_brute_force_and_list_no_pairs(spark):
+    """The first five in reach of each target, with more in reach than one look holds, ties in the first columns and empty targets."""
+    from stormlens.operators.reach import radius_first
+    rng = np.random.default_rng(4)
+    p = [(i, float(a), float(b), float(r), f"s{i}") for i, (a, b, r) in enumerate(zip(
+        rng.uniform(35.0, 36.0, 3000), rng.uniform(-120.0, -118.5, 3000), rng.integers(0, 40, 3000)))]
+    t = [(j, float(a), float(b)) for j, (a, b) in enumerate(zip(rng.uniform(34.5, 36.5, 300), rng.uniform(-120.5, -118.0, 300)))]
+    t += [(300, 10.0, 10.0), (301, None, 1.0), (302, 35.0, -120.0)]
+    points = spark.createDataFrame(p, "id long, lat double, lon double, risk double, name string").repartition(5)
+    targets = spark.createDataFrame(t, "node long, t_lat double, t_lon double")
+    x = radius_first(points, targets, ["node"], 30.0, 5, [F.desc("risk"), F.asc("id")])
+    got = {}
+    for r in x.collect():
+        assert r.name == f"s{r.id}"
+        got.setdefault(r.node, []).append((-r.risk, r.id))
+    want = {}
+    for j, a, b in t:
+        near = sorted((-r, i) for i, la, lo, r, _ in p if a is not None and math.hypot(
+            (lo - b) * 111320.0 * math.cos(math.radians(a)), (la - a) * 110540.0) / 1000.0 <= 30.0)[:5]
+        if near:
+            want[j] = near
+    assert {j: sorted(v) for j, v in got.items()} == want and len(want) > 100
+
+
+def test_top_watch_sectors_joins_no_strike_with_its_nodes(spark):
+    """No row is a pair of a strike and a node: the joins of the plan are those that make the strikes."""
+    plan = entry.queries()["top_watch_sectors"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "__cell" in plan and "__cj" not in plan
