@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stormlens.functions.timecols import DAY_US, HOUR_US
 from stormlens.operators.counters import counter_delta
-from stormlens.operators.joins import radius_join
+from stormlens.operators.gathered import radius_nearest
 from stormlens.session import cut
 
 # Weights of the study score, holdover window, dry-storm screen.
@@ -86,17 +86,11 @@ def dry_candidates(storms: DataFrame, rain: DataFrame, fires: DataFrame, nodes:
     mm = mm.groupBy(*key).agg(F.max(F.when(F.col("storm"), F.col("mm"))).alias("rain_storm_mm"),
                               F.max(F.when(~F.col("storm"), F.col("mm"))).alias("rain_day_mm"))
     s = cut(s.join(mm, key).where(F.coalesce("rain_storm_mm", "rain_day_mm") <= dry_mm))
-    window = FIRE_WINDOW_H * HOUR_US
-    t = s.join(nodes.select("vsn", "n_lat", "n_lon"), "vsn").withColumn(
-        "__end", F.col("last_flash") + window)
-    hit = radius_join(fires.select("fire_id", "discovery", "f_lat", "f_lon"),
-                      t.select("vsn", "day", "last_flash", "__end", "n_lat", "n_lon"), FIRE_RADIUS_KM,
-                      point_ll=("f_lat", "f_lon"), target_ll=("n_lat", "n_lon"),
-                      time=("discovery", "last_flash", "__end", window), out="fire_dist_km")
-    best = hit.groupBy(*key).agg(F.min(F.struct("fire_dist_km", "fire_id", "discovery")).alias("f"))
-    out = s.join(best, key)
-    return out.select("*", F.col("f.fire_id").alias("fire_id"), F.col("f.fire_dist_km").alias("fire_dist_km"),
-                      ((F.col("f.discovery") - F.col("last_flash")) / HOUR_US).alias("lag_h")).drop("f")
+    t = s.join(nodes.select("vsn", "n_lat", "n_lon"), "vsn").select(*key, "last_flash", "n_lat", "n_lon")
+    best = radius_nearest(fires.select("fire_id", "discovery", "f_lat", "f_lon"), t, key, "fire_id", FIRE_RADIUS_KM, time="discovery",
+                          start="last_flash", span=FIRE_WINDOW_H * HOUR_US, point_ll=("f_lat", "f_lon"), target_ll=("n_lat", "n_lon"))
+    out = s.join(best.withColumnRenamed("dist_km", "fire_dist_km"), key)
+    return out.withColumn("lag_h", (F.col("discovery") - F.col("last_flash")) / HOUR_US).drop("discovery")
 
 
 def top_dry(candidates: DataFrame, n: int = 25) -> DataFrame:
