@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stormlens.functions.timecols import HOUR_US
 from stormlens.operators.blocks import running_last, with_block
@@ -49,6 +52,45 @@ def counter_delta(trace: DataFrame, windows: DataFrame, by: list[str], hour: str
     return windows.join(d, keys, "left")
 
 
+def counter_deltas(trace: DataFrame, rows: DataFrame, by: str, hour: str, windows: dict[str, tuple[str, str]], *,
+                   lo: str = "lo", hi: str = "hi", shares: int = 256) -> DataFrame:
+    """counter_delta over several windows (columns t0, t1) of each row at once; rows whose windows are all empty are left out.
+
+    The nodes are dealt into `shares`, in which rows and trace meet as arrays: no window is a row and nothing is joined back.
+    """
+    names = [c for c in rows.columns]
+    schema = T.StructType([*rows.schema.fields, *[T.StructField(c, T.DoubleType()) for c in windows]])
+    dealt = lambda x: x.where(F.col(by).isNotNull()).withColumn("__share", F.pmod(F.xxhash64(by), F.lit(shares)).cast("int"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        node, at = np.unique(left.column(by).to_numpy(), return_inverse=True)
+        times, rank = np.unique(left.column(hour).to_numpy(), return_inverse=True)
+        key = at * (len(times) + 1) + rank
+        order = np.argsort(key)
+        key = key[order]
+        ends = [np.append(left.column(c).to_numpy()[order], np.nan) for c in (lo, hi)]
+        mine = right.column(by).to_numpy()
+        i = np.minimum(np.searchsorted(node, mine), max(len(node) - 1, 0))
+        known = node[i] == mine if len(node) else np.zeros(len(mine), bool)
+        out = []
+        for t0, t1 in windows.values():
+            a, b = (np.searchsorted(key, i * (len(times) + 1) + np.searchsorted(times, right.column(c).to_numpy())) for c in (t0, t1))
+            some = np.flatnonzero(known & (a < b))
+            some = some[np.argsort(a[some], kind="stable")]
+            cuts = np.stack([a[some], b[some]], 1).ravel()
+            mm = np.full(len(mine), np.nan)
+            if len(some):
+                mm[some] = np.maximum(np.fmax.reduceat(ends[1], cuts)[::2] - np.fmin.reduceat(ends[0], cuts)[::2], 0.0)
+            out.append(mm)
+        full = np.flatnonzero(~np.isnan(out).all(axis=0))
+        return pa.Table.from_arrays([*right.select(names).take(pa.array(full)).columns, *[pa.array(x[full], mask=np.isnan(x[full])) for x in out]],
+                                    schema.names)
+
+    tasks = int(trace.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    l, r = (dealt(x).repartition(tasks, "__share").groupBy("__share") for x in (trace.select(by, hour, lo, hi), rows))
+    return l.cogroup(r).applyInArrow(run, schema)
+
+
 def counter_delta_reset(series: DataFrame, windows: DataFrame, by: list[str], time: str, value: str,
                         t0: str, t1: str, keys: list[str], out: str, *, bucket, block) -> DataFrame:
     """Sum of the positive steps between consecutive readings inside [t0, t1)."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stormlens.functions.timecols import DAY_US, HOUR_US
-from stormlens.operators.counters import counter_delta
+from stormlens.operators.counters import counter_deltas
 from stormlens.operators.gathered import radius_nearest
 from stormlens.session import cut
 
@@ -75,22 +75,15 @@ def dry_candidates(storms: DataFrame, rain: DataFrame, fires: DataFrame, nodes:
     9 h after) counts, else that of the UTC day; the screen is inclusive. The nearest fire
     within 35 km discovered in [last flash, + 72 h] is kept.
     """
-    key = ["vsn", "day"]
-    s = cut(storms)  # a small table that the joins below read several times
     first, last, day = F.col("first_flash"), F.col("last_flash"), F.col("day")
-    spans = F.array(
-        F.struct(F.lit(True).alias("storm"), (first - BEFORE_H * HOUR_US).alias("a"), (last + AFTER_H * HOUR_US).alias("z")),
-        F.struct(F.lit(False).alias("storm"), (day * DAY_US).alias("a"), ((day + 1) * DAY_US).alias("z")))
-    w = s.select(*key, F.explode(spans).alias("w")).select(*key, "w.*")
-    mm = counter_delta(rain, w, ["vsn"], "hour", "a", "z", [*key, "storm"], "mm", bucket=2 * DAY_US)
-    mm = mm.groupBy(*key).agg(F.max(F.when(F.col("storm"), F.col("mm"))).alias("rain_storm_mm"),
-                              F.max(F.when(~F.col("storm"), F.col("mm"))).alias("rain_day_mm"))
-    s = cut(s.join(mm, key).where(F.coalesce("rain_storm_mm", "rain_day_mm") <= dry_mm))
-    t = s.join(nodes.select("vsn", "n_lat", "n_lon"), "vsn").select(*key, "last_flash", "n_lat", "n_lon")
-    best = radius_nearest(fires.select("fire_id", "discovery", "f_lat", "f_lon"), t, key, "fire_id", FIRE_RADIUS_KM, time="discovery",
+    w = storms.withColumns({"__a": first - BEFORE_H * HOUR_US, "__z": last + AFTER_H * HOUR_US, "__d": day * DAY_US, "__e": (day + 1) * DAY_US})
+    s = counter_deltas(rain, w, "vsn", "hour", {"rain_storm_mm": ("__a", "__z"), "rain_day_mm": ("__d", "__e")})
+    s = s.where(F.coalesce("rain_storm_mm", "rain_day_mm") <= dry_mm).drop("__a", "__z", "__d", "__e")
+    t = s.join(nodes.select("vsn", "n_lat", "n_lon"), "vsn")
+    best = radius_nearest(fires.select("fire_id", "discovery", "f_lat", "f_lon"), t, s.columns, "fire_id", FIRE_RADIUS_KM, time="discovery",
                           start="last_flash", span=FIRE_WINDOW_H * HOUR_US, point_ll=("f_lat", "f_lon"), target_ll=("n_lat", "n_lon"))
-    out = s.join(best.withColumnRenamed("dist_km", "fire_dist_km"), key)
-    return out.withColumn("lag_h", (F.col("discovery") - F.col("last_flash")) / HOUR_US).drop("discovery")
+    return best.select(*s.columns, "fire_id", F.col("dist_km").alias("fire_dist_km"),
+                       ((F.col("discovery") - F.col("last_flash")) / HOUR_US).alias("lag_h"))
 
 
 def top_dry(candidates: DataFrame, n: int = 25) -> DataFrame:
