@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from stormlens.functions.timecols import DAY_US, HOUR_US
 from stormlens.operators.counters import counter_deltas
 from stormlens.operators.gathered import radius_nearest
-from stormlens.session import cut
 
 # Weights of the study score, holdover window, dry-storm screen.
 WEIGHTS = {"c_fire_prox": 0.26, "c_node_prox": 0.16, "c_storm": 0.16, "c_audio": 0.22,
@@ -35,7 +34,7 @@ def minmax_norms(df: DataFrame, specs: dict[str, tuple[Column, bool, bool]]) ->
         x = x.withColumn("__" + n, F.log1p(F.greatest(v, F.lit(0.0))) if log else v)
         if log:
             x = x.withColumn("__" + n, F.when(v.isNotNull(), F.col("__" + n)))
-    x = cut(x)  # read twice: once for the bounds, once for the rows
+    # read twice, once for the bounds and once for the rows, which are too many to be kept in between
     bounds = x.agg(F.struct(
         *[F.min("__" + n).alias("lo_" + n) for n in specs],
         *[F.max("__" + n).alias("hi_" + n) for n in specs]).alias("b")).scalar()
